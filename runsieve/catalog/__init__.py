@@ -6,7 +6,7 @@ import importlib
 
 from runsieve.catalog.registry import ORACLES, QUERIES, Query
 
-_MODULES = ("scoring",)
+_MODULES = ("scoring", "aggregates")
 
 
 def _load() -> None:
