@@ -6,7 +6,7 @@ import importlib
 
 from runsieve.catalog.registry import ORACLES, QUERIES, Query
 
-_MODULES = ("scoring", "aggregates")
+_MODULES = ("scoring", "aggregates", "lifecycle", "ingest", "judging")
 
 
 def _load() -> None:

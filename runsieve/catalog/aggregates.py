@@ -130,7 +130,7 @@ def case_passed(spark, sf):
     with_views(
         ["v_last_scores"],
         'SELECT eval_run_id, metric, mean, p50, p95, "min", "max", n, pass_rate, threshold, gated FROM aggs',
-        {**_EVENT_RUNS, **_aggregates("v_last_scores", "x_runs")} | {"x_counts": "SELECT 1"},
+        {"x_runs": _EVENT_RUNS["x_runs"], **_aggregates("v_last_scores", "x_runs")},
     ),
 )
 def metric_aggregates(spark, sf):
@@ -167,8 +167,8 @@ _VIEWS = ["v_last_scores", "v_case_flags"]
     ),
 )
 def run_case_counts(spark, sf):
-    facts = agg.long_facts(_event_scores(spark, sf).limit(0), _event_flags(spark, sf))
-    counts = agg.run_case_counts(agg.fact_histogram(facts), _event_runs(spark, sf))
+    hist = agg.fact_histogram(agg.outcome_facts(_event_flags(spark, sf)))
+    counts = agg.run_case_counts(hist, _event_runs(spark, sf))
     return counts.select(RUN, "total_cases", "completed_cases", "passed_cases", "failed_cases", "error_cases")
 
 
@@ -177,8 +177,8 @@ def run_case_counts(spark, sf):
     with_views(_VIEWS, "SELECT eval_run_id, raw_pass AS pass_rate, raw_error AS error_rate FROM rates", _STEPS),
 )
 def run_rates(spark, sf):
-    facts = agg.long_facts(_event_scores(spark, sf).limit(0), _event_flags(spark, sf))
-    counts = agg.run_case_counts(agg.fact_histogram(facts), _event_runs(spark, sf))
+    hist = agg.fact_histogram(agg.outcome_facts(_event_flags(spark, sf)))
+    counts = agg.run_case_counts(hist, _event_runs(spark, sf))
     return agg.with_rates(counts).select(RUN, "pass_rate", "error_rate")
 
 

@@ -194,16 +194,20 @@ def result_facts(results: DataFrame) -> DataFrame:
     return results.select(RUN, F.explode(facts).alias("_f")).select(RUN, "_f.*")
 
 
-def long_facts(scores: DataFrame, cases: DataFrame) -> DataFrame:
-    """The same facts from a long score table and a table of case flags."""
-    none = F.lit(None).cast("bigint")
+def outcome_facts(cases: DataFrame) -> DataFrame:
+    """Outcome facts alone, from a table of case flags."""
     tokens = [
         (F.col(c).cast("bigint") if c in cases.columns else F.lit(0).cast("bigint")).alias(c)
         for c in ("input_tokens", "output_tokens")
     ]
-    outcomes = cases.select(RUN, case_outcome(cases).alias("metric"), F.lit(None).cast("double").alias("score"), *tokens)
+    return cases.select(RUN, case_outcome(cases).alias("metric"), F.lit(None).cast("double").alias("score"), *tokens)
+
+
+def long_facts(scores: DataFrame, cases: DataFrame) -> DataFrame:
+    """The same facts from a long score table and a table of case flags."""
+    none = F.lit(None).cast("bigint")
     metrics = scores.select(RUN, "metric", "score", none.alias("input_tokens"), none.alias("output_tokens"))
-    return metrics.unionByName(outcomes)
+    return metrics.unionByName(outcome_facts(cases))
 
 
 def fact_histogram(facts: DataFrame) -> DataFrame:

@@ -128,11 +128,10 @@ def audit_documents(results: DataFrame) -> DataFrame:
         F.col("tool_call_logs"),
         F.col("retrieved_contexts"),
     )
-    return results.select(
-        F.explode(F.array(F.lit("audit"), F.lit("cases"))).alias("index_name"),
-        F.concat_ws(":", "eval_run_id", "case_id").alias("doc_id"),
-        F.struct(*results.columns, audit.alias("audit")).alias("doc"),
+    docs = results.select(
+        F.concat_ws(":", "eval_run_id", "case_id").alias("doc_id"), F.struct(*results.columns, audit.alias("audit")).alias("doc")
     )
+    return docs.select(F.explode(F.array(F.lit("audit"), F.lit("cases"))).alias("index_name"), "doc_id", "doc")
 
 
 def pick_metric(report: DataFrame, name: str, field: str, out: str) -> DataFrame:
