@@ -6,7 +6,7 @@ import importlib
 
 from runsieve.catalog.registry import ORACLES, QUERIES, Query
 
-_MODULES = ("scoring", "aggregates", "lifecycle", "ingest", "judging")
+_MODULES = ("scoring", "aggregates", "lifecycle", "ingest", "judging", "streams")
 
 
 def _load() -> None:

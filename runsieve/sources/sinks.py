@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runsieve.operators.ranking import latest_by
 
@@ -34,10 +36,15 @@ def append_batch(batch: DataFrame, batch_id: int, path: str) -> None:
     )
 
 
-def read_log(spark: SparkSession, path: str, schema) -> DataFrame:
+def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Everything appended so far; empty with the same schema before the first batch."""
-    full = schema.add("batch_id", "bigint") if "batch_id" not in schema.fieldNames() else schema
-    return spark.read.schema(full).parquet(path)
+    full = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    try:
+        return spark.read.schema(full).parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], full)
 
 
 def current_rows(log: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
