@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from runsieve.catalog import views as V
 from runsieve.catalog.registry import query
 from runsieve.catalog.sql import exact_mean, exact_units, fixed, percent, rnd, with_views
+from runsieve.functions.numbers import fixed_sql
 from runsieve.operators import aggregate as agg
 from runsieve.operators import reports as rep
 from runsieve.operators import runs as run_ops
@@ -200,6 +201,10 @@ def gate_decision(spark, sf):
     return report.select(RUN, "status", "gate_passed", F.array_join("failures", "; ").alias("failures"))
 
 
+_METRIC_CELLS = ", ".join(
+    ["m.metric", fixed_sql("m.mean", 4), fixed_sql("m.p50", 4), fixed_sql("m.p95", 4), "m.n", fixed_sql("m.pass_rate", 4)]
+)
+_METRIC_LINE = f"array_join(transform(metrics, m -> concat_ws(':', {_METRIC_CELLS})), ',')"
 _METRIC_TEXT = f"""
     SELECT eval_run_id, string_agg(metric || ':' || {fixed('mean', 4)} || ':' || {fixed('p50', 4)} || ':' || {fixed('p95', 4)} || ':' || n || ':' ||
            {fixed('pass_rate', 4)}, ',' ORDER BY list_position({_NAMES}, metric)) AS metrics,
@@ -218,17 +223,11 @@ _METRIC_TEXT = f"""
     ),
 )
 def run_report(spark, sf):
-    from runsieve.functions.numbers import fixed as fx
-
     report = rep.pick_metric(_event_reports(spark, sf), "answer_relevance", "mean", "relevance_mean")
-    text = F.transform(
-        "metrics",
-        lambda m: F.concat_ws(":", m["metric"], fx(m["mean"], 4), fx(m["p50"], 4), fx(m["p95"], 4), m["n"], fx(m["pass_rate"], 4)),
-    )
     return report.select(
         RUN, "status", "gate_passed", F.array_join("failures", "; ").alias("failures"), "overall_score", "total_cases",
         "completed_cases", "passed_cases", "failed_cases", "error_cases", "pass_rate", "error_rate",
-        F.array_join(text, ",").alias("metrics"), "relevance_mean",
+        F.expr(_METRIC_LINE).alias("metrics"), "relevance_mean",
     )
 
 
@@ -258,15 +257,9 @@ _DATASET = {
     ),
 )
 def evaluate_dataset_query(spark, sf):
-    from runsieve.functions.numbers import fixed as fx
-
-    text = F.transform(
-        "metrics",
-        lambda m: F.concat_ws(":", m["metric"], fx(m["mean"], 4), fx(m["p50"], 4), fx(m["p95"], 4), m["n"], fx(m["pass_rate"], 4)),
-    )
     return evaluate_dataset(V.cases(spark, sf)).select(
         RUN, "status", "gate_passed", F.array_join("failures", "; ").alias("failures"), "overall_score", "total_cases",
-        "completed_cases", "passed_cases", "failed_cases", "error_cases", "pass_rate", "error_rate", F.array_join(text, ",").alias("metrics"),
+        "completed_cases", "passed_cases", "failed_cases", "error_cases", "pass_rate", "error_rate", F.expr(_METRIC_LINE).alias("metrics"),
     )
 
 

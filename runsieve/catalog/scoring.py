@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from runsieve.catalog import views as V
 from runsieve.catalog.registry import query
 from runsieve.catalog.sql import VIEWS, alnum, first_copies, fixed, rnd, shared, strip, with_views, words
+from runsieve.functions.arrays import explode_once
 from runsieve.functions.text import alnum_tokens, shared_count, ws_tokens
 from runsieve.operators import retrieval, scoring, traces
 from runsieve.plans.evaluate import score_cases
@@ -25,7 +26,7 @@ def _text(arr: str):
         FROM (SELECT doc_id, {words('text')} AS t FROM documents)""",
 )
 def token_sets(spark, sf):
-    t = V.table(spark, sf, "documents").select("doc_id", ws_tokens(F.col("text")).alias("t"))
+    t = V.texts(spark, sf, "documents").select("doc_id", ws_tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), _text(F.array_sort("t")).alias("tokens"))
 
 
@@ -35,7 +36,7 @@ def token_sets(spark, sf):
         FROM (SELECT page_id, {alnum('html')} AS t FROM pages)""",
 )
 def alnum_token_sets(spark, sf):
-    t = V.table(spark, sf, "pages").select("page_id", alnum_tokens(F.col("html")).alias("t"))
+    t = V.texts(spark, sf, "pages").select("page_id", alnum_tokens(F.col("html")).alias("t"))
     return t.select("page_id", F.size("t").cast("bigint").alias("n_tokens"), _text(F.array_sort("t")).alias("tokens"))
 
 
@@ -262,8 +263,8 @@ def corpus_dedup(spark, sf):
 )
 def rag_retrieve_case(spark, sf):
     ranked = retrieval.rank_case_passages(_line_cases(spark, sf), k=4)
-    rows = ranked.select("doc_id", F.posexplode("passages").alias("i", "passage"))
-    return rows.select("doc_id", (F.col("i") + 1).cast("bigint").alias("rank"), "passage")
+    rows = explode_once(ranked.select("doc_id", "passages"), "passages", "passage", "i")
+    return rows.select("doc_id", (F.col("i") + 1).alias("rank"), "passage")
 
 
 @query(
@@ -285,7 +286,7 @@ def rag_retrieve_case(spark, sf):
 )
 def lexical_topk(spark, sf):
     queries = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    passages = V.table(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"), "text")
+    passages = V.texts(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"), "text")
     return retrieval.lexical_top_k(queries, passages, k=4).withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -454,7 +455,7 @@ def agent_response_norm(spark, sf):
         .when(kind == 3, F.to_json(F.struct(text.alias("output"), F.array(text).alias("retrieved_contexts"))))
         .otherwise(F.lit('{"answer":null,"tool_calls":null}'))
     )
-    docs = V.table(spark, sf, "documents").select("doc_id", body.alias("body"))
+    docs = V.texts(spark, sf, "documents").select("doc_id", body.alias("body"))
     return traces.normalise_responses(docs).select(
         "doc_id",
         "answer",

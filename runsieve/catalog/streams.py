@@ -125,5 +125,5 @@ def metric_tumbling_avg(spark, sf):
     log = drain(S.tumbling_mean(values, "ts", ["event_type"], "value", "1 day", "1 day"), "averages", mode="update")
     means = S.window_means(current_rows(log, ["event_type", "window_start"]))
     return means.select(
-        "event_type", F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "n", round_exact(F.col("mean")).alias("mean")
+        "event_type", F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "n", round_exact("mean").alias("mean")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runsieve.functions.text import strip
+from runsieve.session import spread
 
 AS_OF = "2024-01-25 00:00:00"
 
@@ -14,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, spread over the cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One case per user turn; the recorded answer is the assistant's next turn."""
     turns, docs = table(spark, sf_dir, "conversations"), table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -91,12 +97,12 @@ def live_responses(cases_df: DataFrame) -> DataFrame:
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their non-blank lines, stripped, in order."""
     lines = F.filter(F.transform(F.split("text", "\n"), strip), lambda x: x != "")
-    return table(spark, sf_dir, "documents").withColumn("lines", lines)
+    return texts(spark, sf_dir, "documents").withColumn("lines", lines)
 
 
 def doc_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as tool cases: first half of the words expected, the rest called."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"))
+    words = texts(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"))
     half = F.floor(F.size("w") / 2).cast("int")
     return words.select(
         "doc_id",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runsieve.functions.arrays import explode_once
 from runsieve.functions.numbers import as_exact, exact_ratio, round_exact
 from runsieve.functions.text import n_items, or_str
 from runsieve.operators.ranking import interpolate, latest_by, materialise, percentile_parts, weighted_ranks
@@ -22,7 +23,7 @@ def latest_results(results: DataFrame, order: list[str]) -> DataFrame:
 
 def metric_scores(results: DataFrame) -> DataFrame:
     """Long form of the metrics array: one row per metric of a case, with its position."""
-    return results.select(*CASE_KEY, F.posexplode("metrics").alias("metric_pos", "_m")).select(
+    return explode_once(results.select(*CASE_KEY, "metrics"), "metrics", "_m", "metric_pos").select(
         *CASE_KEY, "metric_pos", F.col("_m.name").alias("metric"), F.col("_m.score"), F.col("_m.passed")
     )
 
@@ -130,7 +131,7 @@ def aggregates_from_histogram(hist: DataFrame, runs: DataFrame) -> DataFrame:
     whole = limits.join(stats, [RUN, "metric"], "left")
 
     def rounded(c: str) -> Column:
-        return F.coalesce(round_exact(F.col(c)), F.lit(0.0))
+        return F.coalesce(round_exact(c), F.lit(0.0))
 
     return whole.select(
         RUN,
@@ -191,7 +192,7 @@ def result_facts(results: DataFrame) -> DataFrame:
         F.col("output_tokens").cast("bigint").alias("output_tokens"),
     )
     facts = F.concat(F.coalesce(metric, F.array()), F.array(outcome))
-    return results.select(RUN, F.explode(facts).alias("_f")).select(RUN, "_f.*")
+    return explode_once(results.select(RUN, facts.alias("_facts")), "_facts", "_f").select(RUN, "_f.*")
 
 
 def outcome_facts(cases: DataFrame) -> DataFrame:
@@ -272,7 +273,7 @@ def overall_scores(aggregates: DataFrame) -> DataFrame:
     )
     return (
         grouped.withColumn("_mean", exact_ratio(F.col("_sum"), F.col("_n")))
-        .withColumn("overall_score", F.coalesce(round_exact(F.col("_mean")), F.lit(0.0)))
+        .withColumn("overall_score", F.coalesce(round_exact("_mean"), F.lit(0.0)))
         .drop("_sum", "_n", "_mean")
     )
 
@@ -282,4 +283,4 @@ def with_cost(
 ) -> DataFrame:
     """Add ``estimated_cost_usd`` (6 digits) from summed token counts."""
     raw = F.col("input_tokens") / F.lit(1e6) * F.lit(input_usd) + F.col("output_tokens") / F.lit(1e6) * F.lit(output_usd)
-    return df.withColumn("_cost", raw).withColumn("estimated_cost_usd", round_exact(F.col("_cost"), 6)).drop("_cost")
+    return df.withColumn("_cost", raw).withColumn("estimated_cost_usd", round_exact("_cost", 6)).drop("_cost")

@@ -29,12 +29,12 @@ def gate(df: DataFrame) -> DataFrame:
             F.when(
                 F.col("error_rate") > t["max_error_rate"],
                 F.concat(
-                    F.lit("error rate "), percent(F.col("error_rate"), 2), F.lit(" is above "), percent(t["max_error_rate"], 2)
+                    F.lit("error rate "), percent("error_rate", 2), F.lit(" is above "), percent("thresholds.max_error_rate", 2)
                 ),
             ),
             F.when(
                 F.col("overall_score") < t["overall"],
-                F.concat(F.lit("overall score "), fixed(F.col("overall_score"), 3), F.lit(" is below "), fixed(t["overall"], 3)),
+                F.concat(F.lit("overall score "), fixed("overall_score", 3), F.lit(" is below "), fixed("thresholds.overall", 3)),
             ),
         )
     )

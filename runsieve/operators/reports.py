@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runsieve.functions.numbers import fixed, percent
+from runsieve.functions.numbers import fixed, fixed_sql, percent, percent_sql
 from runsieve.functions.text import or_str
 
 _SUMMARY_CHARS = 65535  # fixed values: limits of the receiving services
@@ -27,43 +27,37 @@ def titles(report: DataFrame, out: str = "title") -> DataFrame:
     return report.withColumn(
         out,
         F.concat(
-            F.lit("Evaluation "), verb, F.lit(": overall "), fixed(F.col("overall_score"), 3), F.lit(" against "),
-            fixed(F.col("thresholds.overall"), 2), F.lit(" in "), F.col("eval_run_id"),
+            F.lit("Evaluation "), verb, F.lit(": overall "), fixed("overall_score", 3), F.lit(" against "),
+            fixed("thresholds.overall", 2), F.lit(" in "), F.col("eval_run_id"),
         ),
     )
 
 
-def metric_ok(m: Column) -> Column:
-    return ~m["gated"] & (m["n"] > 0)
-
-
 def markdown(report: DataFrame, out: str = "markdown") -> DataFrame:
     """Markdown text of a report: headline, bullets, metric table, failures."""
 
-    def row(m: Column) -> Column:
-        cells = [
-            m["metric"], fixed(m["mean"], 3), fixed(m["p50"], 3), fixed(m["p95"], 3), fixed(m["threshold"], 2),
-            percent(m["pass_rate"]), F.when(metric_ok(m), "ok").otherwise("below"),
-        ]
-        return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
-
+    cells = [
+        "m.metric", fixed_sql("m.mean", 3), fixed_sql("m.p50", 3), fixed_sql("m.p95", 3), fixed_sql("m.threshold", 2),
+        percent_sql("m.pass_rate"), "CASE WHEN NOT m.gated AND m.n > 0 THEN 'ok' ELSE 'below' END",
+    ]
+    rows = F.expr(f"transform(metrics, m -> concat('| ', concat_ws(' | ', {', '.join(cells)}), ' |'))")
     lines = F.concat(
         F.array(
             F.concat(F.lit("# Evaluation "), F.when(F.col("gate_passed"), "PASS").otherwise("FAIL")),
             F.lit(""),
-            F.concat(F.lit("* overall score "), fixed(F.col("overall_score"), 3), F.lit(", needed "), fixed(F.col("thresholds.overall"), 2)),
+            F.concat(F.lit("* overall score "), fixed("overall_score", 3), F.lit(", needed "), fixed("thresholds.overall", 2)),
             F.concat(F.lit("* run "), F.col("eval_run_id")),
             F.concat(F.lit("* judge "), F.coalesce("judge_model_id", F.lit("none"))),
             F.concat(
                 F.lit("* cases passed "), F.col("passed_cases").cast("string"), F.lit(" of "), F.col("completed_cases").cast("string"),
-                F.lit(" ("), percent(F.col("pass_rate")), F.lit("), errors "), percent(F.col("error_rate")),
+                F.lit(" ("), percent("pass_rate"), F.lit("), errors "), percent("error_rate"),
             ),
-            F.concat(F.lit("* estimated cost USD "), fixed(F.col("estimated_cost_usd"), 4)),
+            F.concat(F.lit("* estimated cost USD "), fixed("estimated_cost_usd", 4)),
             F.lit(""),
             F.lit("| metric | mean | p50 | p95 | threshold | pass rate | flag |"),
             F.lit("|---|---|---|---|---|---|---|"),
         ),
-        F.transform("metrics", row),
+        rows,
         F.when(
             F.size("failures") > 0,
             F.concat(F.array(F.lit(""), F.lit("Reasons:")), F.transform("failures", lambda f: F.concat(F.lit("* "), f))),
@@ -82,8 +76,8 @@ def notification_outbox(report: DataFrame, repo: Column, git_sha: Column, pr_num
     listed = F.transform(F.slice("failures", 1, _MAX_FAILURES), lambda f: F.concat(F.lit("- "), f))
     text = F.concat(
         F.lit("Evaluation FAILED for "), F.coalesce(or_str(F.col("_repo")), F.lit("repo")), F.lit(" at "),
-        F.coalesce(or_str(F.col("_sha")), F.lit("-")), F.lit(": overall "), fixed(F.col("overall_score"), 3),
-        F.lit(", needed "), fixed(F.col("thresholds.overall"), 2), F.lit("\n"), F.array_join(listed, "\n"),
+        F.coalesce(or_str(F.col("_sha")), F.lit("-")), F.lit(": overall "), fixed("overall_score", 3),
+        F.lit(", needed "), fixed("thresholds.overall", 2), F.lit("\n"), F.array_join(listed, "\n"),
     )
     known = or_str(F.col("_repo")).isNotNull() & or_str(F.col("_sha")).isNotNull() & has_token
     return (

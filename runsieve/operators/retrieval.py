@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from runsieve.functions.text import alnum_tokens, shared_count, stripped_names
+from runsieve.functions.arrays import let
+from runsieve.functions.text import alnum_tokens, shared_count, strip
 
 _TEXTS = "array<string>"
 
@@ -18,7 +19,7 @@ _TEXTS = "array<string>"
 def merged_corpus(expected: Column, recorded: Column) -> Column:
     """Both passage lists, stripped, blanks dropped, first copy kept."""
     both = F.concat(F.coalesce(expected, F.array().cast(_TEXTS)), F.coalesce(recorded, F.array().cast(_TEXTS)))
-    return F.array_distinct(stripped_names(both))
+    return F.array_distinct(F.filter(F.transform(both, strip), lambda x: x != ""))
 
 
 def rank_case_passages(cases: DataFrame, k: int = 4, out: str = "passages") -> DataFrame:
@@ -29,21 +30,19 @@ def rank_case_passages(cases: DataFrame, k: int = 4, out: str = "passages") -> D
     ``k`` passages are kept. Row-local: no shuffle.
     """
     recorded = F.col("recorded_trace")["retrieved_contexts"]
-    prepared = cases.withColumn("_corpus", merged_corpus(F.col("expected_contexts"), recorded)).withColumn(
-        "_query_tokens", alnum_tokens(F.col("query"))
-    )
 
     def tokenised(passage: Column, pos: Column) -> Column:
         return F.struct(pos.alias("pos"), passage.alias("passage"), alnum_tokens(passage).alias("tokens"))
 
-    def scored(p: Column) -> Column:
+    def scored(query_tokens: Column, p: Column) -> Column:
         size = F.greatest(F.size(p["tokens"]), F.lit(1)).cast("double")
-        score = shared_count(F.col("_query_tokens"), p["tokens"]) / F.sqrt(size)
+        score = shared_count(query_tokens, p["tokens"]) / F.sqrt(size)
         return F.struct((-score).alias("minus"), p["pos"].alias("pos"), p["passage"].alias("passage"))
 
     # Without query tokens every score is 0, so the corpus order stays.
-    best = F.slice(F.array_sort(F.transform(F.transform("_corpus", tokenised), scored)), 1, k)
-    return prepared.withColumn(out, F.transform(best, lambda s: s["passage"])).drop("_corpus", "_query_tokens")
+    passages = F.transform(merged_corpus(F.col("expected_contexts"), recorded), tokenised)
+    ranked = let(alnum_tokens(F.col("query")), lambda q: F.array_sort(F.transform(passages, lambda p: scored(q, p))))
+    return cases.withColumn(out, F.transform(F.slice(ranked, 1, k), lambda s: s["passage"]))
 
 
 class _QueryBlock:

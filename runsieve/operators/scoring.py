@@ -1,16 +1,26 @@
-"""Deterministic scorers: context overlap, relevance, tool selection."""
+"""Deterministic scorers: context overlap, relevance, tool selection.
+
+Each step that is used several times later is its own projection, so that it is
+computed once per row; all steps run in one stage without a shuffle.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsieve.functions.numbers import fixed, round_exact
-from runsieve.functions.text import n_items, or_arr, or_str, quoted_list, shared_count, strip, stripped_names, ws_tokens
+from runsieve.functions.numbers import fixed_sql, round_exact_sql
+from runsieve.functions.text import quoted_list_sql, strip_sql, stripped_names_sql, ws_tokens_sql
 from runsieve.schemas import METRICS, PASS_CUTOFF
 
 _PROBE = 80  # fixed value: characters compared when looking for a passage in an answer
 
+_NO_TEXTS = "cast(array() AS array<string>)"
+_SAME = f"coalesce(expected_answer <> '' AND {strip_sql('expected_answer')} = {strip_sql('answer')}, false)"
+
+
+def _add(df: DataFrame, **columns: str) -> DataFrame:
+    return df.withColumns({name: F.expr(text) for name, text in columns.items()})
 
 
 def context_overlap(df: DataFrame, contexts: str, answer: str, out: str = "score") -> DataFrame:
@@ -22,78 +32,66 @@ def context_overlap(df: DataFrame, contexts: str, answer: str, out: str = "score
     With hits the score is 0.6 + 0.4 * share, unrounded; without, it is the
     share of answer tokens found in the contexts.
     """
-    low = df.withColumn("_a", F.lower(F.col(answer))).withColumn("_c", F.transform(contexts, F.lower))
-    probe = F.substring("_a", 1, _PROBE)
-    hits = F.size(
-        F.filter("_c", lambda c: F.contains(F.col("_a"), F.substring(c, 1, _PROBE)) | F.contains(c, probe))
-    )
-    low = (
-        low.withColumn("_hits", hits)
-        .withColumn("_at", ws_tokens(F.col("_a")))
-        .withColumn("_ct", ws_tokens(F.array_join("_c", " ")))
-        .withColumn("_share", F.try_divide(shared_count(F.col("_at"), F.col("_ct")), F.size("_at")))
+    hit = f"contains(_a, substring(c, 1, {_PROBE})) OR contains(c, substring(_a, 1, {_PROBE}))"
+    low = _add(df, _a=f"lower({answer})", _c=f"transform({contexts}, c -> lower(c))")
+    low = _add(
+        low,
+        _hits=f"size(filter(_c, c -> {hit}))",
+        _at=ws_tokens_sql("_a"),
+        _ct=ws_tokens_sql("array_join(_c, ' ')"),
     )
-    n = n_items(F.col("_c"))
-    score = (
-        F.when(n == 0, F.when(strip(F.col(answer)) != "", 1.0).otherwise(0.0))
-        .when(F.col("_hits") > 0, F.least(F.lit(1.0), 0.6 + 0.4 * F.col("_hits") / n))
-        .when((F.size("_at") == 0) | (F.size("_ct") == 0), F.lit(0.0))
-        .otherwise(round_exact(F.col("_share")))
+    low = _add(low, _share="try_divide(size(array_intersect(_at, _ct)), size(_at))")
+    scored = _add(
+        low,
+        empty_answer=f"{answer} = ''",
+        **{
+            out: f"""
+            CASE WHEN coalesce(size(_c), 0) = 0 THEN CASE WHEN {strip_sql(answer)} <> '' THEN 1D ELSE 0D END
+                 WHEN _hits > 0 THEN least(1D, 0.6D + 0.4D * _hits / size(_c))
+                 WHEN size(_at) = 0 OR size(_ct) = 0 THEN 0D
+                 ELSE {round_exact_sql("_share")} END"""
+        },
     )
-    return (
-        low.withColumn(out, score)
-        .withColumn("empty_answer", F.col(answer) == "")
-        .drop("_a", "_c", "_hits", "_at", "_ct", "_share")
-    )
-
-
-def same_as_expected(expected: Column, answer: Column) -> Column:
-    """A non-empty expected answer that equals the answer after stripping."""
-    return F.coalesce((expected != "") & (strip(expected) == strip(answer)), F.lit(False))
+    return scored.drop("_a", "_c", "_hits", "_at", "_ct", "_share")
 
 
 def faithfulness(df: DataFrame) -> DataFrame:
     """Add ``faithfulness``: 1.0 on the expected answer, else context overlap."""
-    contexts = F.coalesce(or_arr(F.col("retrieved_contexts"), F.col("expected_contexts")), F.array().cast("array<string>"))
-    scored = context_overlap(df.withColumn("_contexts", contexts), "_contexts", "answer", "_overlap")
-    exact = same_as_expected(F.col("expected_answer"), F.col("answer"))
-    return scored.withColumn("faithfulness", F.when(exact, 1.0).otherwise(F.col("_overlap"))).drop("_contexts", "_overlap")
+    chosen = f"CASE WHEN size(retrieved_contexts) > 0 THEN retrieved_contexts ELSE coalesce(expected_contexts, {_NO_TEXTS}) END"
+    scored = context_overlap(_add(df, _contexts=chosen), "_contexts", "answer", "_overlap")
+    return _add(scored, faithfulness=f"CASE WHEN {_SAME} THEN 1D ELSE _overlap END").drop("_contexts", "_overlap")
 
 
 def answer_relevance(df: DataFrame) -> DataFrame:
     """Add ``answer_relevance`` from token overlap with query and expectation."""
-    tokens = (
-        df.withColumn("_q", ws_tokens(F.col("query")))
-        .withColumn("_t", ws_tokens(F.col("answer")))
-        .withColumn("_e", ws_tokens(F.coalesce(F.col("expected_answer"), F.lit(""))))
-        .withColumn("_on_query", F.least(F.lit(1.0), F.try_divide(2 * shared_count(F.col("_q"), F.col("_t")), F.size("_q"))))
-        .withColumn("_on_expected", shared_count(F.col("_t"), F.col("_e")) / F.greatest(F.size("_e"), F.lit(1)))
-        .withColumn("_on_query", round_exact(F.col("_on_query")))
-        .withColumn("_on_expected", round_exact(F.col("_on_expected")))
+    tokens = _add(
+        df, _q=ws_tokens_sql("query"), _t=ws_tokens_sql("answer"), _e=ws_tokens_sql("coalesce(expected_answer, '')")
     )
-    has_expected = or_str(F.col("expected_answer")).isNotNull()
-    score = (
-        F.when(same_as_expected(F.col("expected_answer"), F.col("answer")), 1.0)
-        .when((F.size("_q") == 0) | (F.size("_t") == 0), 0.0)
-        .when(has_expected, F.greatest("_on_query", "_on_expected"))
-        .otherwise(F.col("_on_query"))
+    shares = _add(
+        tokens,
+        _on_query="least(1D, try_divide(2 * size(array_intersect(_q, _t)), size(_q)))",
+        _on_expected="size(array_intersect(_t, _e)) / greatest(size(_e), 1)",
     )
-    return tokens.withColumn("answer_relevance", score).drop("_q", "_t", "_e", "_on_query", "_on_expected")
-
-
-def precision_recall(expected_n: Column, actual_n: Column, both_n: Column) -> tuple[Column, Column]:
-    """Precision and recall from three set sizes, with the empty-set rules."""
-    precision = (
-        F.when((expected_n == 0) & (actual_n == 0), 1.0)
-        .when((expected_n == 0) | (actual_n == 0), 0.0)
-        .otherwise(both_n / actual_n)
+    rounded = _add(shares, _on_query=round_exact_sql("_on_query"), _on_expected=round_exact_sql("_on_expected"))
+    return _add(
+        rounded,
+        answer_relevance=f"""
+        CASE WHEN {_SAME} THEN 1D WHEN size(_q) = 0 OR size(_t) = 0 THEN 0D
+             WHEN expected_answer <> '' THEN greatest(_on_query, _on_expected) ELSE _on_query END""",
+    ).drop("_q", "_t", "_e", "_on_query", "_on_expected")
+
+
+def _ratios(df: DataFrame, expected: str, actual: str, both: str) -> DataFrame:
+    """Add _p, _r and _f (F1) from three set sizes, with the empty-set rules."""
+    ratios = _add(
+        df,
+        _p=f"CASE WHEN {expected} = 0 AND {actual} = 0 THEN 1D WHEN {expected} = 0 OR {actual} = 0 THEN 0D ELSE {both} / {actual} END",
+        _r=f"CASE WHEN {expected} = 0 THEN 1D WHEN {actual} = 0 THEN 0D ELSE {both} / {expected} END",
     )
-    recall = F.when(expected_n == 0, 1.0).when(actual_n == 0, 0.0).otherwise(both_n / expected_n)
-    return precision, recall
+    return _add(ratios, _f="CASE WHEN _p + _r = 0 THEN 0D ELSE 2 * _p * _r / (_p + _r) END")
 
 
-def f1_score(precision: Column, recall: Column) -> Column:
-    return F.when(precision + recall == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
+_ROUNDED = {"tool_precision": round_exact_sql("_p"), "tool_recall": round_exact_sql("_r"), "tool_f1": round_exact_sql("_f")}
 
 
 def tool_selection(df: DataFrame, expected: str, actual: str) -> DataFrame:
@@ -101,41 +99,35 @@ def tool_selection(df: DataFrame, expected: str, actual: str) -> DataFrame:
 
     Adds ``tool_expected`` / ``tool_actual`` (stripped, repeats kept),
     ``tool_precision`` / ``tool_recall`` / ``tool_f1`` rounded to 4,
-    ``tool_selection_precision`` (the score) and ``tool_reasoning``.
+    ``tool_selection_precision`` (the score), ``tool_reasoning`` and ``tool_thought``.
     """
-    sets = (
-        df.withColumn("tool_expected", stripped_names(F.coalesce(F.col(expected), F.array().cast("array<string>"))))
-        .withColumn("tool_actual", stripped_names(F.coalesce(F.col(actual), F.array().cast("array<string>"))))
-        .withColumn("_es", F.array_distinct("tool_expected"))
-        .withColumn("_as", F.array_distinct("tool_actual"))
-        .withColumn("_both", F.array_sort(F.array_intersect("_es", "_as")))
-    )
-    precision, recall = precision_recall(F.size("_es"), F.size("_as"), F.size("_both"))
-    sets = sets.withColumn("_p", precision).withColumn("_r", recall).withColumn("_f", f1_score(F.col("_p"), F.col("_r")))
-    extra = F.array_sort(F.array_except("_as", "_es"))
-    missing = F.array_sort(F.array_except("_es", "_as"))
-    parts = F.array_compact(
-        F.array(
-            F.concat(F.lit("shared="), quoted_list(F.col("_both"))),
-            F.when(F.size(extra) > 0, F.concat(F.lit("extra="), quoted_list(extra))),
-            F.when(F.size(missing) > 0, F.concat(F.lit("not_called="), quoted_list(missing))),
-        )
-    )
-    reasoning = (
-        F.when((F.size("_es") == 0) & (F.size("_as") == 0), F.lit("no tool was expected or called"))
-        .when(F.size("_as") == 0, F.concat(F.lit("no tool was called; expected "), quoted_list(F.array_sort("_es"))))
-        .when(F.size("_es") == 0, F.concat(F.lit("no tool was expected; called "), quoted_list(F.array_sort("_as"))))
-        .otherwise(F.array_join(parts, "; "))
+    sets = _add(
+        df,
+        tool_expected=stripped_names_sql(f"coalesce({expected}, {_NO_TEXTS})"),
+        tool_actual=stripped_names_sql(f"coalesce({actual}, {_NO_TEXTS})"),
     )
-    return (
-        sets.withColumn("tool_reasoning", reasoning)
-        .withColumn("tool_precision", round_exact(F.col("_p")))
-        .withColumn("tool_recall", round_exact(F.col("_r")))
-        .withColumn("tool_f1", round_exact(F.col("_f")))
-        .withColumn("tool_selection_precision", F.col("tool_precision"))
-        .withColumn("tool_thought", F.concat(F.lit("recall="), fixed(F.col("_r"), 3), F.lit(" f1="), fixed(F.col("_f"), 3)))
-        .drop("_es", "_as", "_both", "_p", "_r", "_f")
+    sets = _add(sets, _es="array_sort(array_distinct(tool_expected))", _as="array_sort(array_distinct(tool_actual))")
+    sets = _add(
+        sets,
+        _both="array_intersect(_es, _as)",
+        _extra="array_except(_as, _es)",
+        _missing="array_except(_es, _as)",
     )
+    scored = _ratios(sets, "size(_es)", "size(_as)", "size(_both)")
+    reasoning = f"""
+        CASE WHEN size(_es) = 0 AND size(_as) = 0 THEN 'no tool was expected or called'
+             WHEN size(_as) = 0 THEN 'no tool was called; expected ' || {quoted_list_sql("_es")}
+             WHEN size(_es) = 0 THEN 'no tool was expected; called ' || {quoted_list_sql("_as")}
+             ELSE concat_ws('; ', 'shared=' || {quoted_list_sql("_both")},
+                            CASE WHEN size(_extra) > 0 THEN 'extra=' || {quoted_list_sql("_extra")} END,
+                            CASE WHEN size(_missing) > 0 THEN 'not_called=' || {quoted_list_sql("_missing")} END) END"""
+    return _add(
+        scored,
+        **_ROUNDED,
+        tool_selection_precision=_ROUNDED["tool_precision"],
+        tool_reasoning=reasoning,
+        tool_thought=f"concat('recall=', {fixed_sql('_r', 3)}, ' f1=', {fixed_sql('_f', 3)})",
+    ).drop("_es", "_as", "_both", "_extra", "_missing", "_p", "_r", "_f")
 
 
 def tool_selection_from_log(expected: DataFrame, calls: DataFrame, keys: list[str]) -> DataFrame:
@@ -146,21 +138,12 @@ def tool_selection_from_log(expected: DataFrame, calls: DataFrame, keys: list[st
     """
     expected = expected.select(*keys, "tool", F.lit(1).alias("_e"), F.lit(0).alias("_a"))
     calls = calls.select(*keys, "tool", F.lit(0).alias("_e"), F.lit(1).alias("_a"))
-    named = expected.unionByName(calls).withColumn("tool", strip(F.col("tool"))).filter(F.col("tool") != "")
+    named = _add(expected.unionByName(calls), tool=strip_sql("tool")).filter("tool <> ''")
     per_tool = named.groupBy(*keys, "tool").agg(F.max("_e").alias("_e"), F.max("_a").alias("_a"))
     sizes = per_tool.groupBy(*keys).agg(
-        F.sum("_e").alias("n_expected"),
-        F.sum("_a").alias("n_actual"),
-        F.sum(F.col("_e") * F.col("_a")).alias("n_both"),
-    )
-    precision, recall = precision_recall(F.col("n_expected"), F.col("n_actual"), F.col("n_both"))
-    sizes = sizes.withColumn("_p", precision).withColumn("_r", recall).withColumn("_f", f1_score(F.col("_p"), F.col("_r")))
-    return (
-        sizes.withColumn("tool_precision", round_exact(F.col("_p")))
-        .withColumn("tool_recall", round_exact(F.col("_r")))
-        .withColumn("tool_f1", round_exact(F.col("_f")))
-        .drop("_p", "_r", "_f")
+        F.sum("_e").alias("n_expected"), F.sum("_a").alias("n_actual"), F.expr("sum(_e * _a)").alias("n_both")
     )
+    return _add(_ratios(sizes, "n_expected", "n_actual", "n_both"), **_ROUNDED).drop("_p", "_r", "_f")
 
 
 def score_traces(df: DataFrame) -> DataFrame:
@@ -174,21 +157,14 @@ def score_traces(df: DataFrame) -> DataFrame:
 
 def metric_array(df: DataFrame, out: str = "metrics") -> DataFrame:
     """Pack the three scores into an array of metric structs in fixed order."""
-
-    def metric(name: str, reasoning: Column, thought: Column) -> Column:
-        return F.struct(
-            F.lit(name).alias("name"),
-            F.col(name).alias("score"),
-            (F.col(name) >= PASS_CUTOFF).alias("passed"),
-            reasoning.alias("reasoning"),
-            thought.alias("chain_of_thought"),
-            F.lit(0).cast("bigint").alias("input_tokens"),
-            F.lit(0).cast("bigint").alias("output_tokens"),
-        )
-
     texts = {
-        METRICS[0]: (F.lit("share of the answer found in its contexts"), F.lit("lexical scorer")),
-        METRICS[1]: (F.lit("tokens shared with the query or the expected answer"), F.lit("lexical scorer")),
-        METRICS[2]: (F.col("tool_reasoning"), F.col("tool_thought")),
+        METRICS[0]: ("'share of the answer found in its contexts'", "'lexical scorer'"),
+        METRICS[1]: ("'tokens shared with the query or the expected answer'", "'lexical scorer'"),
+        METRICS[2]: ("tool_reasoning", "tool_thought"),
     }
-    return df.withColumn(out, F.array(*[metric(name, *texts[name]) for name in METRICS]))
+    items = [
+        f"named_struct('name', '{name}', 'score', {name}, 'passed', {name} >= {PASS_CUTOFF}D, 'reasoning', {reasoning}, "
+        f"'chain_of_thought', {thought}, 'input_tokens', 0L, 'output_tokens', 0L)"
+        for name, (reasoning, thought) in texts.items()
+    ]
+    return _add(df, **{out: f"array({', '.join(items)})"})

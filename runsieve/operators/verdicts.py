@@ -123,7 +123,7 @@ def claim_support(claims: DataFrame, keys: list[str], supported: str = "supporte
         F.count("*").alias("n_claims"), F.sum(F.col(supported).cast("int")).cast("bigint").alias("n_supported")
     )
     return counts.withColumn("_share", F.col("n_supported") / F.col("n_claims")).withColumn(
-        "support", round_exact(F.col("_share"))
+        "support", round_exact("_share")
     ).drop("_share")
 
 
@@ -139,7 +139,7 @@ def external_scores(df: DataFrame, backend: str, raw: str, threshold: float = PA
         limit = threshold
     return (
         df.withColumn("_b", clamp01(F.col(raw)))
-        .withColumn("score", round_exact(F.col("_b")))
+        .withColumn("score", round_exact("_b"))
         .withColumn("passed", F.col("_b") >= F.lit(float(limit)))
         .withColumn("backend", F.lit(backend))
         .drop("_b")

@@ -53,8 +53,8 @@ def build_reports(facts: DataFrame, runs: DataFrame | None = None, thresholds: T
     scores = hist.filter(F.col("metric").isin(*METRICS)).select(RUN, "metric", "score", "c")
     overall = agg.overall_scores(agg.aggregates_from_histogram(scores, counts.select(RUN, "thresholds")))
     gated = gate(agg.with_cost(agg.with_rates(counts)).join(overall, RUN))
-    return gated.withColumn("pass_rate", round_exact(F.col("pass_rate"))).withColumn(
-        "error_rate", round_exact(F.col("error_rate"))
+    return gated.withColumn("pass_rate", round_exact("pass_rate")).withColumn(
+        "error_rate", round_exact("error_rate")
     )
 
 

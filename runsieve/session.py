@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -46,6 +46,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan over all cores when its files give fewer tasks than that.
+
+    For plain scans that feed heavy per-row work: a table in one row group is one
+    task. A table with enough splits is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder; never reused between calls."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"

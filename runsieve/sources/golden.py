@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runsieve.functions.arrays import explode_once
 from runsieve.functions.text import strip
 from runsieve.schemas import GOLDEN
 
@@ -27,14 +28,15 @@ def case_rows(datasets: DataFrame, dataset_id: Column) -> DataFrame:
         dataset_id.alias("dataset_id"),
         F.coalesce("version", F.lit("1.0")).alias("version"),
         F.coalesce("name", F.lit("golden")).alias("dataset_name"),
-        F.posexplode("cases").alias("pos", "_c"),
+        "cases",
     )
+    rows = explode_once(rows, "cases", "_c", "pos")
     c = F.col("_c")
     return rows.select(
         "dataset_id",
         "version",
         "dataset_name",
-        F.col("pos").cast("bigint").alias("pos"),
+        "pos",
         strip(c["id"]).alias("case_id"),
         F.coalesce(c["suite"], F.lit("hybrid")).alias("suite"),
         c["query"].alias("query"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runsieve.functions.arrays import explode_once
 from runsieve.schemas import CASE_RESULT
 
 
@@ -39,9 +40,9 @@ def parse_result_documents(documents: DataFrame) -> DataFrame:
         .when(kind.startswith("OBJECT") & part("$.metrics", "variant").isNotNull(), F.array("_v"))
         .when(kind.startswith("OBJECT") & part("$.results", "variant").isNotNull(), part("$.results", "array<variant>"))
     )
-    rows = documents.withColumn("_v", doc).select("file_path", F.posexplode(items).alias("pos", "_item"))
+    rows = explode_once(documents.withColumn("_v", doc).select("file_path", items.alias("_items")), "_items", "_item", "pos")
     return rows.select(
-        "file_path", F.col("pos").cast("bigint").alias("pos"), F.from_json(F.to_json("_item"), CASE_RESULT).alias("_r")
+        "file_path", "pos", F.from_json(F.to_json("_item"), CASE_RESULT).alias("_r")
     ).select("file_path", "pos", "_r.*")
 
 
