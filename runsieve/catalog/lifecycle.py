@@ -146,8 +146,7 @@ def dispatch_resolve(spark, sf):
         F.when(k % 5 == 0, "").when(k % 5 != 1, F.concat(F.lit("golden/"), k, F.lit(".json"))).alias("dataset_key"),
         F.when(F.col("c_mktsegment") == "BUILDING", "online").alias("eval_mode"),
     )
-    conf = spark.createDataFrame([("offline", "")], "eval_mode string, judge_model_id string")
-    ready = dispatch.resolve_settings(triggers, conf, {"eval_mode": "candidate", "judge_model_id": "judge-default"})
+    ready = dispatch.resolve_settings(triggers, {"eval_mode": "offline", "judge_model_id": ""}, {"eval_mode": "candidate", "judge_model_id": "judge-default"})
     found = dispatch.resolve_datasets(ready, _latest_manifests(spark, sf))
     return found.select("c_custkey", "dataset_uri", "manifest_id", "insert_manifest", "error", "eval_mode", "judge_model_id")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runsieve.functions.text import strip
 from runsieve.session import spread
 
-AS_OF = "2024-01-25 00:00:00"
+_NO_TEXTS = "cast(array() AS array<string>)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,64 +22,47 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One case per user turn; the recorded answer is the assistant's next turn."""
-    turns, docs = table(spark, sf_dir, "conversations"), table(spark, sf_dir, "documents").select("doc_id", "text")
-    said = turns.filter(F.col("role") == "assistant")
-    reply = said.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
-    later = said.select("conv_id", (F.col("turn") - 3).alias("turn"), F.col("text").alias("later"))
-    wanted = docs.select(F.col("doc_id").alias("conv_id"), F.col("text").alias("wanted"))
-    found = docs.select((F.col("doc_id") - 1).alias("conv_id"), F.col("text").alias("found"))
-    c, t = F.col("conv_id"), F.col("turn")
-    no_text = F.array().cast("array<string>")
-    expected_tools = (
-        F.when(c % 3 == 0, F.array(F.lit("search_docs")))
-        .when(c % 3 == 1, F.array(F.lit("create_ticket"), F.lit("lookup_oncall")))
-        .otherwise(F.array(F.lit("search_docs"), F.lit(" warehouse_query "), F.lit("")))
-    )
-    step = F.floor(t / 2) % 4
-    called = (
-        F.when(step == 0, F.col("expected_tools"))
-        .when(step == 1, F.slice("expected_tools", 1, 1))
-        .when(step == 2, F.concat("expected_tools", F.array(F.lit("delete_bucket"), F.lit("search_docs"))))
-        .otherwise(no_text)
-    )
-    calls = F.transform(
-        called,
-        lambda n: F.struct(n.alias("name"), F.lit("{}").alias("arguments"), F.lit(None).cast("string").alias("result")),
-    )
-    retrieved = F.when(c % 2 == 1, no_text).otherwise(F.array_compact(F.array("reply", "found")))
-    trace = F.when(
-        F.col("reply").isNotNull(),
-        F.struct(
-            F.col("reply").alias("answer"),
-            retrieved.alias("retrieved_contexts"),
-            calls.alias("tool_calls"),
-            (c % 100).alias("latency_ms"),
-            F.lit("{}").alias("metadata"),
-        ),
-    )
-    return (
-        turns.filter(F.col("role") == "user")
+    turns, docs = table(spark, sf_dir, "conversations"), table(spark, sf_dir, "documents")
+    said = turns.filter("role = 'assistant'")
+    reply = said.selectExpr("conv_id", "turn - 1 AS turn", "text AS reply")
+    later = said.selectExpr("conv_id", "turn - 3 AS turn", "text AS later")
+    wanted = docs.selectExpr("doc_id AS conv_id", "text AS wanted")
+    found = docs.selectExpr("doc_id - 1 AS conv_id", "text AS found")
+    joined = (
+        spread(turns.filter("role = 'user'"))
         .join(reply, ["conv_id", "turn"], "left")
         .join(later, ["conv_id", "turn"], "left")
         .join(wanted, "conv_id", "left")
         .join(found, "conv_id", "left")
-        .withColumn("expected_tools", expected_tools)
-        .select(
-            F.concat(F.lit("run-"), c % 8).alias("eval_run_id"),
-            F.concat_ws("-", c, t).alias("case_id"),
-            "conv_id",
-            "turn",
-            F.when(c % 3 == 0, "rag").when(c % 3 == 1, "tool_calling").otherwise("hybrid").alias("suite"),
-            F.col("text").alias("query"),
-            F.when((c + t) % 4 == 0, F.col("reply")).otherwise(F.col("later")).alias("expected_answer"),
-            F.when(c % 5 == 0, no_text).otherwise(F.array_compact(F.array("wanted"))).alias("expected_contexts"),
-            "expected_tools",
-            trace.alias("recorded_trace"),
-            F.lit("{}").alias("metadata"),
-            F.when(c % 8 < 3, "offline").when(c % 8 < 6, "candidate").otherwise("online").alias("eval_mode"),
-            F.when(c % 8 != 7, "https://agent.example").alias("agent_endpoint"),
-            F.col("later").alias("live_answer"),
-        )
+    )
+    tools = """
+        CASE conv_id % 3 WHEN 0 THEN array('search_docs') WHEN 1 THEN array('create_ticket', 'lookup_oncall')
+             ELSE array('search_docs', ' warehouse_query ', '') END"""
+    called = f"""
+        CASE floor(turn / 2) % 4 WHEN 0 THEN expected_tools WHEN 1 THEN slice(expected_tools, 1, 1)
+             WHEN 2 THEN concat(expected_tools, array('delete_bucket', 'search_docs')) ELSE {_NO_TEXTS} END"""
+    trace = f"""
+        CASE WHEN reply IS NOT NULL THEN named_struct(
+            'answer', reply,
+            'retrieved_contexts', CASE WHEN conv_id % 2 = 1 THEN {_NO_TEXTS} ELSE array_compact(array(reply, found)) END,
+            'tool_calls', transform({called}, n -> named_struct('name', n, 'arguments', '{{}}', 'result', string(NULL))),
+            'latency_ms', conv_id % 100,
+            'metadata', '{{}}') END"""
+    return joined.withColumn("expected_tools", F.expr(tools)).selectExpr(
+        "concat('run-', conv_id % 8) AS eval_run_id",
+        "concat_ws('-', conv_id, turn) AS case_id",
+        "conv_id",
+        "turn",
+        "CASE conv_id % 3 WHEN 0 THEN 'rag' WHEN 1 THEN 'tool_calling' ELSE 'hybrid' END AS suite",
+        "text AS query",
+        "CASE WHEN (conv_id + turn) % 4 = 0 THEN reply ELSE later END AS expected_answer",
+        f"CASE WHEN conv_id % 5 = 0 THEN {_NO_TEXTS} ELSE array_compact(array(wanted)) END AS expected_contexts",
+        "expected_tools",
+        f"{trace} AS recorded_trace",
+        "'{}' AS metadata",
+        "CASE WHEN conv_id % 8 < 3 THEN 'offline' WHEN conv_id % 8 < 6 THEN 'candidate' ELSE 'online' END AS eval_mode",
+        "CASE WHEN conv_id % 8 <> 7 THEN 'https://agent.example' END AS agent_endpoint",
+        "later AS live_answer",
     )
 
 

@@ -89,17 +89,16 @@ def dispatch_totals(sharded: DataFrame) -> DataFrame:
     )
 
 
-def resolve_settings(requests: DataFrame, conf: DataFrame, defaults: dict[str, str | None]) -> DataFrame:
+def resolve_settings(requests: DataFrame, conf: dict[str, str], defaults: dict[str, str | None]) -> DataFrame:
     """Setting by setting: request, then configuration, then default.
 
-    ``conf`` is a one-row table with the same column names.
+    ``conf`` is a mapping of setting names to values; empty values do not count.
     """
-    row = conf.limit(1).select(*[F.col(c).alias(f"_conf_{c}") for c in defaults if c in conf.columns])
-    joined = requests.join(F.broadcast(row), how="left", on=F.lit(True)) if row.columns else requests
+    chosen = {}
     for name, default in defaults.items():
-        options = [F.col(c) for c in (name, f"_conf_{name}") if c in joined.columns]
-        joined = joined.withColumn(name, F.coalesce(or_str(*options), F.lit(default).cast("string")))
-    return joined.drop(*[c for c in joined.columns if c.startswith("_conf_")])
+        fallback = F.lit(conf.get(name) or default).cast("string")
+        chosen[name] = F.coalesce(or_str(F.col(name)), fallback) if name in requests.columns else fallback
+    return requests.withColumns(chosen)
 
 
 def resolve_datasets(triggers: DataFrame, manifests: DataFrame) -> DataFrame:

@@ -54,8 +54,8 @@ def join_manifests(results: DataFrame, state: DataFrame, stored: DataFrame, fiel
 
 
 def missing_cases(dispatched: DataFrame, results: DataFrame) -> DataFrame:
-    """Dispatched cases without a result."""
-    return dispatched.join(results, [RUN, "case_id"], "left_anti")
+    """Dispatched cases without a result; redelivered results collapse before the join."""
+    return dispatched.join(results.select(RUN, "case_id").distinct(), [RUN, "case_id"], "left_anti")
 
 
 def latest_status(events: DataFrame, order: list[str]) -> DataFrame:

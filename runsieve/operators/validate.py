@@ -49,8 +49,12 @@ def case_violations(cases: DataFrame) -> DataFrame:
 
 
 def empty_datasets(datasets: DataFrame, cases: DataFrame) -> DataFrame:
-    """Datasets without any case."""
-    return datasets.join(cases.select("dataset_id"), "dataset_id", "left_anti").select(
+    """Datasets without any case.
+
+    The case side is made distinct first: a dataset's copies collapse on the map
+    side, so one huge dataset does not land in one join task.
+    """
+    return datasets.join(cases.select("dataset_id").distinct(), "dataset_id", "left_anti").select(
         "dataset_id", F.lit("").alias("case_id"), F.lit("no_cases").alias("violation"), F.lit(0).cast("bigint").alias("n")
     )
 

@@ -11,9 +11,14 @@ from runsieve.operators.ranking import latest_by
 
 
 def write_reports(reports: DataFrame, path: str, date_column: str = "run_date") -> None:
-    """Reports as JSON lines, partitioned by date; a date is replaced as a whole."""
+    """Reports as JSON lines, partitioned by date; a date is replaced as a whole.
+
+    The rebalance hint gathers a date into few files and splits a date that is
+    much larger than the others.
+    """
     (
-        reports.write.mode("overwrite")
+        reports.hint("rebalance", date_column)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(date_column)
         .json(path)

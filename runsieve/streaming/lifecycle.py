@@ -43,10 +43,12 @@ def run_timeouts(started: DataFrame, finished: DataFrame, timeout_seconds: int,
     """Runs whose completion did not arrive within the limit, in event time.
 
     ``started``: eval_run_id, created_at; ``finished``: eval_run_id, finished_at. A run is
-    reported once the watermark has passed created_at + limit.
+    reported once the watermark has passed created_at + limit. Copies of a
+    completion are dropped before the join, so a run's join state stays small.
     """
     s = started.select(RUN, "created_at").withWatermark("created_at", delay).alias("s")
-    f = finished.select(F.col(RUN).alias("_run"), "finished_at").withWatermark("finished_at", delay).alias("f")
+    copies = finished.select(F.col(RUN).alias("_run"), "finished_at").withWatermark("finished_at", delay)
+    f = copies.dropDuplicatesWithinWatermark(["_run", "finished_at"]).alias("f")
     limit = F.expr(f"INTERVAL {int(timeout_seconds)} SECONDS")
     matched = (
         (F.col(RUN) == F.col("_run"))
