@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_LOCAL_DIRS: dict[str, str] = {}
 
 
 def local_session(cpus: int | str = "*", app: str = "runsieve", **conf: str) -> SparkSession:
@@ -37,14 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session may fall back to a temporary folder: on a cluster the
     executors do not share one, so an unset folder is an error there.
     """
-    folder = spark.conf.get(CHECKPOINT_CONF, None)
+    sc = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not sc.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="runsieve-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    if sc.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="runsieve-")
+    return _LOCAL_DIRS[sc.applicationId]
 
 
 def spread(scan: DataFrame) -> DataFrame:
