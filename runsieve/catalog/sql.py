@@ -37,8 +37,8 @@ def percent(x: str, digits: int = 0) -> str:
 
 
 def exact_units(x: str) -> str:
-    """A score in units of 1e-15, as an exact integer."""
-    return f"CAST(replace(CAST(CAST({x} AS DECIMAL(20,15)) AS VARCHAR), '.', '') AS HUGEINT)"
+    """A value in units of 1e-15, as an exact integer; read from its printed decimals."""
+    return f"CAST(replace(CAST(CAST(CAST({x} AS VARCHAR) AS DECIMAL(20,15)) AS VARCHAR), '.', '') AS HUGEINT)"
 
 
 def exact_mean(total: str, n: str) -> str:

@@ -15,10 +15,9 @@ def read_result_documents(spark: SparkSession, path: str) -> DataFrame:
     A result file holds one shard, so a whole file per row is bounded.
     """
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
-        .text(path)
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("content"))
     )
 
