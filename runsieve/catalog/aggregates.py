@@ -11,7 +11,6 @@ from runsieve.functions.numbers import fixed_sql
 from runsieve.operators import aggregate as agg
 from runsieve.operators import reports as rep
 from runsieve.operators import runs as run_ops
-from runsieve.operators.gate import gate
 from runsieve.plans.evaluate import build_reports, evaluate_dataset
 
 RUN = "eval_run_id"

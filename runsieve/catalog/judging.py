@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runsieve.catalog import views as V
 from runsieve.catalog.registry import query
-from runsieve.catalog.sql import rnd, strip, with_views
+from runsieve.catalog.sql import rnd, with_views
 from runsieve.functions.json_text import extract_object, number_or_null
 from runsieve.functions.numbers import clamp01
 from runsieve.operators import scorers, verdicts

@@ -11,7 +11,6 @@ from runsieve.operators import dispatch
 from runsieve.operators import gate as G
 from runsieve.operators import runs as R
 from runsieve.operators.aggregate import latest_results
-from runsieve.operators.ranking import latest_by
 from runsieve.session import fresh_dir
 from runsieve.sources import shards, state
 

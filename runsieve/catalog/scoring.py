@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from runsieve.catalog import views as V
 from runsieve.catalog.registry import query
-from runsieve.catalog.sql import VIEWS, alnum, first_copies, fixed, rnd, shared, strip, with_views, words
+from runsieve.catalog.sql import VIEWS, alnum, fixed, rnd, shared, strip, with_views, words
 from runsieve.functions.arrays import explode_once
 from runsieve.functions.text import alnum_tokens, shared_count, ws_tokens
 from runsieve.operators import retrieval, scoring, traces
 from runsieve.plans.evaluate import score_cases
-from runsieve.schemas import ALLOWED_TOOLS, PASS_CUTOFF
+from runsieve.schemas import PASS_CUTOFF
 
 _NONE = "CAST([] AS VARCHAR[])"
 

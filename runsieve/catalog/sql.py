@@ -67,10 +67,6 @@ def shared(a: str, b: str) -> str:
     return f"len(list_intersect({a}, {b}))"
 
 
-def first_copies(x: str) -> str:
-    return f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
-
-
 _NONE = "CAST([] AS VARCHAR[])"
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
