@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from runsieve.session import fresh_dir
 from runsieve.sources.sinks import append_batch, read_log
@@ -31,12 +35,34 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """
     spark = stream.sparkSession
     root = fresh_dir(spark, label)
-    query = (
+    with _local_state_partitions(spark):
+        query = _start(stream, root, mode)
+    query.awaitTermination()
+    return read_log(spark, f"{root}/log", stream.schema)
+
+
+def _start(stream: DataFrame, root: str, mode: str) -> StreamingQuery:
+    return (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
         .foreachBatch(lambda batch, batch_id: append_batch(batch, batch_id, f"{root}/log"))
         .start()
     )
-    query.awaitTermination()
-    return read_log(spark, f"{root}/log", stream.schema)
+
+
+@contextmanager
+def _local_state_partitions(spark: SparkSession) -> Iterator[None]:
+    """On a local session, no more state partitions than cores.
+
+    A stream fixes its number of state partitions when it first starts; on a
+    cluster the session's setting is used as it is.
+    """
+    key, sc = "spark.sql.shuffle.partitions", spark.sparkContext
+    wanted = spark.conf.get(key)
+    if sc.master.startswith("local") and int(wanted) > sc.defaultParallelism:
+        spark.conf.set(key, str(sc.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, wanted)
