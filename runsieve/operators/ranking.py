@@ -43,9 +43,12 @@ def with_position(df: DataFrame, group: list[str], order: list[str], name: str =
     pieces = ranged.groupBy(*group, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    joined = ranged.join(offsets, [*group, "_part"])
+    keys = [*group, "_part"]
+    offsets = offsets.withColumnsRenamed({c: f"_key_{c}" for c in keys})
+    # Null-safe, so that rows with a NULL group keep their place.
+    joined = ranged.join(offsets, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in keys])
     return joined.withColumn(name, F.col("_before") + F.col("_row") - F.col("_first")).drop(
-        "_row", "_part", "_first", "_before"
+        "_row", "_first", "_before", "_part", *[f"_key_{c}" for c in keys]
     )
 
 

@@ -29,6 +29,8 @@ def test_positions_of_a_hot_group_span_partitions(spark):
     hot = got.filter("g = 'hot'").orderBy("k", "id").select("pos").collect()
     assert [r[0] for r in hot] == list(range(1000))
     assert got.filter("g <> 'hot' AND pos <> 0").count() == 0 and got.count() == 1050
+    unnamed = with_position(spark.createDataFrame([(None, 2, 0), (None, 1, 0), ("a", 1, 0)], df.schema), ["g"], ["k", "id"])
+    assert sorted((r["g"] or "", r["k"], r["pos"]) for r in unnamed.collect()) == [("", 1, 0), ("", 2, 1), ("a", 1, 0)]
 
 
 def test_job_rows_and_ids(spark):
