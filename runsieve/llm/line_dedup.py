@@ -19,8 +19,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     A text is split at line feeds and each line is reduced to its key. Lines are exploded as (document,
     position, hash) without their text; the documents per hash are counted with partial aggregates; the
     positions of lines whose key occurs in at least ``min_docs`` documents go back to their documents,
-    which are reassembled by position. Texts are shuffled only if the documents that lose lines are too
-    many to broadcast.
+    which are reassembled by position. Each text is shuffled once, to meet its positions, whatever the
+    number of documents that lose lines.
 
     Null and empty texts are one empty line; an empty key is never dropped; a document that loses all
     lines keeps the empty text. Rows that repeat id and text are one document in the counts and each stay in the
@@ -41,7 +41,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     drops = stored(drops.withColumnRenamed("doc_id", "_id").withColumnRenamed("_t", "_tt"), "drops")
     dropped = F.coalesce(F.col("_drop"), F.array().cast("array<int>"))
     out = docs.withColumn("_t", key_of(text)).join(
-        small_side(drops, 100_000), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tt")), "left"
+        drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tt")), "left"
     )
     parts = F.split(text, "\n", -1)
     keep = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), dropped)
