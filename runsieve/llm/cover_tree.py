@@ -98,19 +98,22 @@ class Tree:
             here = np.full(self.sizes[level - 1], -1.0)
             np.maximum.at(here, up, np.where(down >= 0, gap + down, -1.0))
             cover.insert(0, here)
+        cos = self.centres @ self.centres.T
         pairs = np.zeros((1, 2), int)
         for level in range(1, len(self.parent)):
-            up, size, reach = self.parent[level], self.sizes[level], cover[level]
-            kids = [np.flatnonzero((up == p) & (reach >= 0)) for p in range(self.sizes[level - 1])]
-            grown = []
-            for p, q in pairs:
-                i, j = np.repeat(kids[p], len(kids[q])), np.tile(kids[q], len(kids[p]))
-                if p == q:
-                    i, j = i[i <= j], j[i <= j]
-                gap = chord(np.einsum("ij,ij->i", self.centres[i], self.centres[j]))
-                keep = (gap <= eps + reach[i] + reach[j] + SLACK) | (i == j)
-                grown.append(np.column_stack((i[keep], j[keep])))
-            pairs = np.unique(np.sort(np.concatenate(grown), axis=1), axis=0) if grown else pairs[:0]
+            up, reach = self.parent[level], cover[level]
+            # Children of each centre, one after the other.
+            kids = np.flatnonzero(reach >= 0)
+            kids = kids[np.argsort(up[kids], kind="stable")]
+            count = np.bincount(up[kids], minlength=self.sizes[level - 1])
+            first = np.cumsum(count) - count
+            p, q = pairs.T
+            size = count[p] * count[q]
+            nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            p, q = np.repeat(p, size), np.repeat(q, size)
+            i, j = kids[first[p] + nth // count[q]], kids[first[q] + nth % count[q]]
+            keep = ((p != q) | (i <= j)) & ((i == j) | (chord(cos[i, j]) <= eps + reach[i] + reach[j] + SLACK))
+            pairs = np.column_stack((i[keep], j[keep]))
         return pairs
 
 
