@@ -206,7 +206,7 @@ def snk_report_json(spark, sf):
     path = fresh_dir(spark, "reports")
     sinks.write_reports(rep.report_json(reports, "s3://results").select(RUN, "report_uri", "report_json", "run_date"), path)
     shape = "status string, overall_score double, error_rate double, failures array<string>, metrics array<struct<metric:string>>"
-    stored = spark.read.schema(f"{RUN} string, report_uri string, report_json string, run_date string").json(path)
+    stored = sinks.read_reports(spark, path, f"{RUN} string, report_uri string, report_json string, run_date string")
     return stored.withColumn("r", F.from_json("report_json", shape)).select(
         RUN, "r.status", "r.overall_score", "r.error_rate", F.size("r.failures").cast("bigint").alias("n_failures"),
         F.size("r.metrics").cast("bigint").alias("n_metrics"), "report_uri", "run_date",

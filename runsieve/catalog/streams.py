@@ -13,15 +13,14 @@ from runsieve.functions.numbers import round_exact
 from runsieve.operators.aggregate import latest_results
 from runsieve.schemas import GOLDEN
 from runsieve.session import fresh_dir
-from runsieve.sources.sinks import current_rows
 from runsieve.streaming import lifecycle as S
-from runsieve.streaming.io import drain, file_stream
+from runsieve.streaming.io import drain, file_stream, table_glob
 
 RUN = "eval_run_id"
 
 
 def _stream(spark, sf, name):
-    return file_stream(spark, sf, V.table(spark, sf, name).schema, f"{name}.parquet")
+    return file_stream(spark, table_glob(sf, name), V.table(spark, sf, name).schema)
 
 
 @query(
@@ -35,7 +34,7 @@ def _stream(spark, sf, name):
 def stream_dispatch(spark, sf):
     folder = fresh_dir(spark, "golden")
     golden_documents(spark, sf).write.json(folder)
-    arrived = file_stream(spark, folder, GOLDEN, "*.json", "json", max_files=4)
+    arrived = file_stream(spark, f"{folder}/*.json", GOLDEN, "json")
     cases = drain(S.dispatch_stream(arrived).select("dataset_id", "shard_id", "pos", "case_id"), "dispatch")
     return cases.groupBy("dataset_id", "shard_id").agg(F.count("*").alias("n_cases"), F.min("case_id").alias("first_case"))
 
@@ -46,8 +45,8 @@ def stream_dispatch(spark, sf):
 )
 def stream_dedup_jobs(spark, sf):
     key = F.concat_ws("-", "user_id", "event_type", F.date_format("ts", "yyyyMMdd")).alias("dedup_id")
-    jobs = _stream(spark, sf, "events").select("ts", key)
-    return drain(S.unique_jobs(jobs, ["dedup_id"], "ts"), "jobs").select("dedup_id")
+    jobs = _stream(spark, sf, "events").select(key)
+    return S.unique_jobs(drain(jobs, "jobs", lambda b: S.job_keys(b, ["dedup_id"])), ["dedup_id"])
 
 
 @query(
@@ -60,10 +59,8 @@ def stream_run_progress(spark, sf):
         F.col("user_id").cast("string").alias(RUN),
         F.date_format("ts", "yyyy-MM-dd").alias("shard_id"),
         F.dayofmonth("ts").cast("bigint").alias("n_cases"),
-        "ts",
     )
-    log = drain(S.run_progress(done, "ts"), "progress", mode="update")
-    return current_rows(log, [RUN]).withColumn("complete", F.col("completed_shards") >= 26)
+    return S.run_progress(drain(done, "progress", S.finished_shards)).withColumn("complete", F.col("completed_shards") >= 26)
 
 
 _YEAR = 365 * 86400
@@ -78,8 +75,9 @@ _YEAR = 365 * 86400
 def stream_run_timeouts(spark, sf):
     started = _stream(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias(RUN), F.col("o_orderdate").alias("created_at"))
     finished = _stream(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias(RUN), F.col("l_shipdate").alias("finished_at"))
-    log = drain(S.run_timeouts(started, finished, _YEAR), "timeouts")
-    return log.select(RUN, F.date_format("created_at", "yyyy-MM-dd").alias("created_on"))
+    starts, ends = drain(started, "starts", S.started_runs), drain(finished, "ends", S.finished_runs)
+    late = S.run_timeouts(starts.drop("batch_id"), ends.drop("batch_id"), _YEAR)
+    return late.select(RUN, F.date_format("created_at", "yyyy-MM-dd").alias("created_on"))
 
 
 @query(
@@ -122,8 +120,8 @@ def stream_upsert(spark, sf):
 )
 def metric_tumbling_avg(spark, sf):
     values = _stream(spark, sf, "events").select("ts", "event_type", "value")
-    log = drain(S.tumbling_mean(values, "ts", ["event_type"], "value", "1 day", "1 day"), "averages", mode="update")
-    means = S.window_means(current_rows(log, ["event_type", "window_start"]))
+    log = drain(values, "averages", lambda b: S.window_sums(b, "ts", ["event_type"], "value", "1 day"))
+    means = S.window_means(log, ["event_type"])
     return means.select(
         "event_type", F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "n", round_exact("mean").alias("mean")
     )

@@ -89,9 +89,15 @@ def with_thresholds(runs: DataFrame, thresholds: Thresholds | None = None) -> Da
     return runs.withColumn("thresholds", (thresholds or Thresholds()).as_column())
 
 
+def valid_scores(scores: DataFrame) -> DataFrame:
+    """Scores from 0 to 1. Missing, NaN and other values are violations of the score check and have no part
+    in counts, means and ranks."""
+    return scores.filter(F.col("score").between(0.0, 1.0))
+
+
 def score_histogram(scores: DataFrame) -> DataFrame:
     """Rows per (run, metric, score): combined on the map side before any shuffle."""
-    return scores.groupBy(RUN, "metric", "score").agg(F.count("*").alias("c"))
+    return valid_scores(scores).groupBy(RUN, "metric", "score").agg(F.count("*").alias("c"))
 
 
 def metric_aggregates(scores: DataFrame, runs: DataFrame) -> DataFrame:
@@ -207,7 +213,7 @@ def outcome_facts(cases: DataFrame) -> DataFrame:
 def long_facts(scores: DataFrame, cases: DataFrame) -> DataFrame:
     """The same facts from a long score table and a table of case flags."""
     none = F.lit(None).cast("bigint")
-    metrics = scores.select(RUN, "metric", "score", none.alias("input_tokens"), none.alias("output_tokens"))
+    metrics = valid_scores(scores).select(RUN, "metric", "score", none.alias("input_tokens"), none.alias("output_tokens"))
     return metrics.unionByName(outcome_facts(cases))
 
 

@@ -69,13 +69,18 @@ def run_actions(runs: DataFrame, as_of: Column, timeout_seconds: int = RUN_TIMEO
     """Add complete, timed_out, gate_timed_out and action (skip, wait, aggregate).
 
     Needs status, n_results, total_cases, completed_shards, total_shards,
-    created_at and force. A timed-out or failed-by-error run is not skipped.
+    created_at and force. A timed-out or failed-by-error run is not skipped. An unknown count counts as 0,
+    a run of unknown size is not complete and one of unknown age is not timed out.
     """
-    complete = (F.col("n_results") >= F.col("total_cases")) | (F.col("completed_shards") >= F.col("total_shards"))
+
+    def reached(count: str, total: str) -> Column:
+        return F.coalesce(F.coalesce(F.col(count), F.lit(0)) >= F.col(total), F.lit(False))
+
+    complete = reached("n_results", "total_cases") | reached("completed_shards", "total_shards")
     force = F.coalesce(F.col("force"), F.lit(False))
     return (
         runs.withColumn("complete", complete)
-        .withColumn("timed_out", timed_out(F.col("created_at"), as_of, timeout_seconds))
+        .withColumn("timed_out", F.coalesce(timed_out(F.col("created_at"), as_of, timeout_seconds), F.lit(False)))
         .withColumn("gate_timed_out", F.col("timed_out") & ~F.col("complete"))
         .withColumn(
             "action",

@@ -25,8 +25,10 @@ def fallback_answer(recorded: Column, expected: Column, contexts: Column) -> Col
 
 
 def planned_tools(expected_tools: Column, recorded: Column, expected_contexts: Column) -> Column:
-    """Names the candidate would call when no calls were recorded."""
-    recorded_names = F.when(recorded.isNotNull(), F.transform(recorded["tool_calls"], lambda c: c["name"]))
+    """Names the candidate would call when no calls were recorded. A recorded trace without calls is a
+    record of none."""
+    names = F.coalesce(F.transform(recorded["tool_calls"], lambda c: c["name"]), F.array().cast(_TEXTS))
+    recorded_names = F.when(recorded.isNotNull(), names)
     return F.coalesce(
         or_arr(expected_tools),
         recorded_names,

@@ -27,12 +27,18 @@ _RUBRICS = {
 _TRACE_CHARS = 2000
 
 
+def _limit(value: float) -> str:
+    """A limit with at least two decimals, and with all it has."""
+    short = f"{value:.2f}"
+    return short if float(short) == value else repr(float(value))
+
+
 def judge_requests(traces: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
     """Two request rows per scored case: instruction and evidence as one text."""
     limits = {name: (thresholds or {}).get(name, PASS_CUTOFF) for name in _RUBRICS}
     rubric = F.array(
         *[
-            F.struct(F.lit(name).alias("metric"), F.lit(f"{text} Passing score: {limits[name]:.2f}.").alias("task"))
+            F.struct(F.lit(name).alias("metric"), F.lit(f"{text} Passing score: {_limit(limits[name])}.").alias("task"))
             for name, text in _RUBRICS.items()
         ]
     )

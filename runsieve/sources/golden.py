@@ -44,6 +44,6 @@ def case_rows(datasets: DataFrame, dataset_id: Column) -> DataFrame:
         F.coalesce(c["expected_contexts"], texts).alias("expected_contexts"),
         F.coalesce(c["expected_tools"], texts).alias("expected_tools"),
         F.coalesce(c["expected_tool_calls"], F.array().cast(calls)).alias("expected_tool_calls"),
-        c["recorded_trace"].alias("recorded_trace"),
+        F.when(c["recorded_trace"].isNotNull(), c["recorded_trace"].withField("tool_calls", F.coalesce(c["recorded_trace"]["tool_calls"], F.array().cast(calls)))).alias("recorded_trace"),
         F.coalesce(c["metadata"], F.lit("{}")).alias("metadata"),
     )

@@ -1,47 +1,60 @@
 """Shard layout: cases on disk so that one shard reads few bytes.
 
-A directory per shard would mean one per eight cases, far too many for a large
-run. Directories hold blocks of shards; rows are sorted by shard inside, so a
-shard filter prunes directories and then row groups.
+A directory per shard would mean one per eight cases, and one per run would mean millions of small ones.
+Directories hold a hash bucket of runs and a block of shards; rows are sorted by run and shard inside, so
+a shard filter prunes directories and then row groups. Every dispatch appends with its own number and
+readers take the last dispatch of each run, so a shorter one leaves no old shard behind.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHARDS_PER_BLOCK = 1024
+RUN_BUCKETS = 256
 
 
 def block_of(shard_id: Column) -> Column:
     return F.floor(shard_id / F.lit(SHARDS_PER_BLOCK))
 
 
-def write_shards(cases: DataFrame, path: str) -> None:
-    """Write sharded cases; rewriting a run replaces only its own blocks."""
-    blocked = cases.withColumn("shard_block", block_of(F.col("shard_id")))
+def run_bucket(run: Column) -> Column:
+    return F.pmod(F.xxhash64(run), F.lit(RUN_BUCKETS)).cast("int")
+
+
+def write_shards(cases: DataFrame, path: str, dispatch: int | None = None) -> None:
+    """Append sharded cases under a dispatch number (by default the time in microseconds)."""
+    number = dispatch if dispatch is not None else time.time_ns() // 1000
+    blocked = (
+        cases.withColumn("shard_block", block_of(F.col("shard_id")).cast("bigint"))
+        .withColumn("run_bucket", run_bucket(F.col("eval_run_id")))
+        .withColumn("dispatch", F.lit(number).cast("bigint"))
+    )
     (
         blocked.repartition("eval_run_id", "shard_block")
-        .sortWithinPartitions("eval_run_id", "shard_block", "shard_id", "pos")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("eval_run_id", "shard_block")
+        .sortWithinPartitions("run_bucket", "shard_block", "eval_run_id", "shard_id", "pos")
+        .write.mode("append")
+        .partitionBy("run_bucket", "shard_block")
         .parquet(path)
     )
 
 
+def _last(rows: DataFrame) -> DataFrame:
+    """Rows of the last dispatch of each run."""
+    last = rows.groupBy("eval_run_id").agg(F.max("dispatch").alias("dispatch"))
+    return rows.join(last, ["eval_run_id", "dispatch"]).drop("dispatch", "run_bucket")
+
+
 def read_shards(spark: SparkSession, path: str, jobs: DataFrame | None = None) -> DataFrame:
-    """All shards, or those of the given jobs (eval_run_id, shard_id)."""
-    stored = spark.read.parquet(path).withColumn("eval_run_id", F.col("eval_run_id").cast("string"))
-    if jobs is None:
-        return stored
-    wanted = jobs.select("eval_run_id", "shard_id", block_of(F.col("shard_id")).alias("shard_block")).distinct()
-    return stored.join(wanted, ["eval_run_id", "shard_block", "shard_id"])
+    """All shards, or those of the given jobs (eval_run_id, shard_id). Ids keep the type they had."""
+    rows = _last(spark.read.parquet(path))
+    return rows if jobs is None else rows.join(jobs.select("eval_run_id", "shard_id").distinct(), ["eval_run_id", "shard_id"])
 
 
 def read_shard(spark: SparkSession, path: str, run: str, shard_id: int) -> DataFrame:
-    return spark.read.parquet(path).filter(
-        (F.col("eval_run_id") == run)
-        & (F.col("shard_block") == shard_id // SHARDS_PER_BLOCK)
-        & (F.col("shard_id") == shard_id)
-    )
+    """One shard: the last dispatch of the run is looked up in the run's bucket alone."""
+    mine = spark.read.parquet(path).filter((F.col("run_bucket") == run_bucket(F.lit(run))) & (F.col("eval_run_id") == run))
+    return _last(mine).filter((F.col("shard_block") == shard_id // SHARDS_PER_BLOCK) & (F.col("shard_id") == shard_id))

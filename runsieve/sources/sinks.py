@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,24 +12,41 @@ from pyspark.sql import types as T
 from runsieve.operators.ranking import latest_by
 
 
-def write_reports(reports: DataFrame, path: str, date_column: str = "run_date") -> None:
-    """Reports as JSON lines, partitioned by date; a date is replaced as a whole.
+def _versioned(rows: DataFrame, version: int | None) -> DataFrame:
+    """Rows with the number of their write: by default the time in microseconds."""
+    return rows.withColumn("version", F.lit(version if version is not None else time.time_ns() // 1000).cast("bigint"))
+
+
+def write_reports(reports: DataFrame, path: str, date_column: str = "run_date", version: int | None = None) -> None:
+    """Append reports as JSON lines, partitioned by date; ``read_reports`` sees the last of each run, so a
+    run replaces itself and no other.
 
     The rebalance hint gathers a date into few files and splits a date that is
     much larger than the others.
     """
-    (
-        reports.hint("rebalance", date_column)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(date_column)
-        .json(path)
-    )
+    _versioned(reports, version).hint("rebalance", date_column).write.mode("append").partitionBy(date_column).json(path)
+
+
+def read_reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The last report of each run; ``schema`` lists the columns that were written."""
+    rows = spark.read.schema(f"{schema}, version bigint").json(path)
+    return latest_by(rows, ["eval_run_id"], ["version"]).drop("version")
+
+
+def write_markdown(reports: DataFrame, path: str, version: int | None = None) -> None:
+    """Append Markdown texts keyed by run, as Parquet (text with newlines)."""
+    _versioned(reports.select("eval_run_id", "markdown"), version).write.mode("append").parquet(path)
+
+
+def read_markdown(spark: SparkSession, path: str) -> DataFrame:
+    """The last text of each run."""
+    rows = spark.read.schema("eval_run_id string, markdown string, version bigint").parquet(path)
+    return latest_by(rows, ["eval_run_id"], ["version"]).drop("version")
 
 
-def write_markdown(reports: DataFrame, path: str) -> None:
-    """Markdown texts keyed by run, as Parquet (text with newlines)."""
-    reports.select("eval_run_id", "markdown").write.mode("overwrite").parquet(path)
+def compact(spark: SparkSession, path: str, schema: str, to: str, date_column: str = "run_date") -> None:
+    """Rewrite a report log into a new folder with the last report of each run only."""
+    write_reports(read_reports(spark, path, schema), to, date_column, version=0)
 
 
 def append_batch(batch: DataFrame, batch_id: int, path: str) -> None:

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from runsieve.functions.text import or_str
 
 
+def decoded_key(key: Column) -> Column:
+    """URL-decoded object key; a ``%`` that starts no escape stays, and a key that still does not decode
+    to text stays as it is."""
+    return F.coalesce(F.try_url_decode(F.regexp_replace(key, "%(?![0-9A-Fa-f]{2})", "%25")), key)
+
+
 def split_uri(df: DataFrame, uri: str, scheme: str = "s3") -> DataFrame:
     """Add bucket, key and is_valid. The key starts after the leading slashes.
 
@@ -57,8 +63,8 @@ def normalise_triggers(events: DataFrame, body: str = "event") -> DataFrame:
         )
         .withColumn(
             "dataset_key",
-            F.when(record, F.url_decode(text("$.Records[0].s3.object.key")))
-            .when(nested, F.url_decode(text("$.detail.object.key")))
+            F.when(record, decoded_key(text("$.Records[0].s3.object.key")))
+            .when(nested, decoded_key(text("$.detail.object.key")))
             .otherwise(or_str(merged("dataset_key"), merged("dataset_s3_key"))),
         )
         .withColumn(

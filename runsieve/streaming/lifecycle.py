@@ -1,8 +1,10 @@
 """Streaming forms of dispatch, progress, timeouts, late results and averages.
 
-All state is keyed by (run, shard) or finer before it is keyed by run, so one
-large run spreads over all state partitions. For large state use the RocksDB
-state store (``spark.sql.streaming.stateStore.providerClass``).
+No stream keeps state and none has a watermark that could discard rows. Each micro-batch is reduced to
+partial rows (distinct keys, sums and counts) that are written to the batch log; a result merges the
+partials of the log. So results do not depend on how files fall into batches or on the order of rows, a
+replayed batch changes nothing, and late rows count. All partials are keyed by (run, shard) or finer
+before they are keyed by run, so one large run spreads over all partitions.
 """
 
 from __future__ import annotations
@@ -24,39 +26,51 @@ def dispatch_stream(datasets: DataFrame, size: int = SHARD_SIZE) -> DataFrame:
     return case_rows(datasets, F.col("name")).withColumn("shard_id", shard_of(F.col("pos"), size))
 
 
-def unique_jobs(jobs: DataFrame, keys: list[str], event_time: str, within: str = "2 days") -> DataFrame:
-    """Drop redelivered jobs by dedup key while the copy is within the watermark."""
-    return jobs.withWatermark(event_time, within).dropDuplicatesWithinWatermark(keys)
+def job_keys(jobs: DataFrame, keys: list[str]) -> DataFrame:
+    """Partial: the dedup keys of a batch."""
+    return jobs.select(*keys).distinct()
 
 
-def run_progress(completions: DataFrame, event_time: str, within: str = "30 days") -> DataFrame:
-    """Distinct finished shards and cases per run (update mode).
+def unique_jobs(log: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per dedup key, however often and in whatever batches it was delivered."""
+    return log.select(*keys).distinct()
 
-    ``completions``: eval_run_id, shard_id, n_cases and the event time. Repeats of a
-    shard are dropped before the count, so redelivery changes nothing.
-    """
-    shards = completions.withWatermark(event_time, within).dropDuplicatesWithinWatermark([RUN, "shard_id"])
+
+def finished_shards(completions: DataFrame) -> DataFrame:
+    """Partial: the shards that a batch finishes; repeats of a shard collapse."""
+    return completions.groupBy(RUN, "shard_id").agg(F.max("n_cases").alias("n_cases"))
+
+
+def run_progress(log: DataFrame) -> DataFrame:
+    """Distinct finished shards and cases per run; redelivery changes nothing."""
+    shards = finished_shards(log)
     return shards.groupBy(RUN).agg(F.count("*").alias("completed_shards"), F.sum("n_cases").alias("completed_cases"))
 
 
-def run_timeouts(started: DataFrame, finished: DataFrame, timeout_seconds: int, delay: str = "0 seconds") -> DataFrame:
-    """Runs whose completion did not arrive within the limit, in event time.
+def started_runs(starts: DataFrame) -> DataFrame:
+    """Partial: the starts of a batch."""
+    return starts.select(RUN, "created_at").distinct()
+
 
-    ``started``: eval_run_id, created_at; ``finished``: eval_run_id, finished_at. A run is
-    reported once the watermark has passed created_at + limit. Copies of a
-    completion are dropped before the join, so a run's join state stays small.
+def finished_runs(finishes: DataFrame) -> DataFrame:
+    """Partial: the completions of a batch, copies collapsed."""
+    return finishes.select(RUN, "finished_at").distinct()
+
+
+def run_timeouts(starts: DataFrame, finishes: DataFrame, timeout_seconds: int) -> DataFrame:
+    """Runs whose completion did not arrive within the limit, in event time, from the two logs.
+
+    A run is reported once both logs have come past created_at + limit: before that its completion may
+    still arrive.
     """
-    s = started.select(RUN, "created_at").withWatermark("created_at", delay).alias("s")
-    copies = finished.select(F.col(RUN).alias("_run"), "finished_at").withWatermark("finished_at", delay)
-    f = copies.dropDuplicatesWithinWatermark(["_run", "finished_at"]).alias("f")
     limit = F.expr(f"INTERVAL {int(timeout_seconds)} SECONDS")
-    matched = (
-        (F.col(RUN) == F.col("_run"))
-        & (F.col("finished_at") >= F.col("created_at"))
-        & (F.col("finished_at") <= F.col("created_at") + limit)
-    )
-    joined = s.join(f, matched, "leftOuter")
-    return joined.filter(F.col("_run").isNull()).select(RUN, "created_at")
+    newest = [starts.agg(F.max("created_at")).first()[0], finishes.agg(F.max("finished_at")).first()[0]]
+    if None in newest:
+        return starts.limit(0)
+    f = finishes.select(F.col(RUN).alias("_run"), "finished_at").distinct()
+    in_time = (F.col(RUN) == F.col("_run")) & (F.col("finished_at") >= F.col("created_at")) & (F.col("finished_at") <= F.col("created_at") + limit)
+    due = starts.distinct().filter(F.col("created_at") + limit < F.lit(min(newest)))
+    return due.join(f, in_time, "left_anti")
 
 
 def late_results(results: DataFrame, gates: DataFrame, arrived: str = "ts", force: Column | None = None) -> DataFrame:
@@ -64,14 +78,15 @@ def late_results(results: DataFrame, gates: DataFrame, arrived: str = "ts", forc
     return late_policy(mark_late(results, gates, arrived), force)
 
 
-def tumbling_mean(values: DataFrame, event_time: str, keys: list[str], value: str, period: str, delay: str) -> DataFrame:
-    """Sum and count per tumbling window (update mode); see ``window_means``."""
-    windowed = values.withWatermark(event_time, delay).groupBy(F.window(event_time, period).alias("w"), *keys)
+def window_sums(values: DataFrame, event_time: str, keys: list[str], value: str, period: str) -> DataFrame:
+    """Partial: exact sum and count per tumbling window of a batch."""
+    windowed = values.groupBy(F.window(event_time, period).alias("w"), *keys)
     return windowed.agg(F.sum(as_exact(F.col(value))).alias("total"), F.count(value).alias("n")).select(
         F.col("w.start").alias("window_start"), *keys, "total", "n"
     )
 
 
-def window_means(totals: DataFrame) -> DataFrame:
-    """Order-independent means from the sums of ``tumbling_mean``."""
-    return totals.withColumn("mean", exact_ratio(F.col("total"), F.col("n"))).drop("total")
+def window_means(log: DataFrame, keys: list[str]) -> DataFrame:
+    """Order-independent mean and count per window over all partial sums."""
+    sums = log.groupBy("window_start", *keys).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return sums.withColumn("mean", exact_ratio(F.col("total"), F.col("n"))).drop("total")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from runsieve.operators.dispatch import assign_shards
 from runsieve.plans.evaluate import evaluate_dataset, score_cases
 from runsieve.operators.traces import default_traces
 from runsieve.session import fresh_dir, shared_dir
-from runsieve.sources import golden, results, shards, sinks
+from runsieve.sources import golden, results, shards, sinks, triggers
 
 
 def _dataset():
@@ -76,11 +77,41 @@ def test_shard_layout_prunes_and_replaces(spark):
     one = shards.read_shard(spark, path, "r1", 2)
     assert sorted(r["case_id"] for r in one.collect()) == ["c16", "c17", "c18", "c19"]
     plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(eval_run_id" in plan and "EqualTo(shard_id,2)" in plan
+    assert re.search(r"PartitionFilters: \[[^]]*(run_bucket[^]]*shard_block|shard_block[^]]*run_bucket)", plan) and "EqualTo(shard_id,2)" in plan
     jobs = spark.createDataFrame([("r0", 0), ("r0", 0), ("r1", 1)], "eval_run_id string, shard_id bigint")
     assert shards.read_shards(spark, path, jobs).count() == 16
 
 
+def test_shorter_dispatch_and_ids_that_look_like_numbers(spark):
+    path = fresh_dir(spark, "redispatch")
+    ids = ["007", "1e5"]
+    cases = spark.createDataFrame([(r, f"c{i}", i) for r in ids for i in range(9000)], "eval_run_id string, case_id string, pos bigint")
+    shards.write_shards(assign_shards(cases, size=1), path)
+    shards.write_shards(assign_shards(cases.filter("eval_run_id = '007' AND pos < 10"), size=1), path)
+    counts = {r["eval_run_id"]: r["count"] for r in shards.read_shards(spark, path).groupBy("eval_run_id").count().collect()}
+    assert counts == {"007": 10, "1e5": 9000}
+
+
+def test_reports_replace_their_own_run_only(spark):
+    path, other = fresh_dir(spark, "reports"), fresh_dir(spark, "compacted")
+    schema = "eval_run_id string, report_json string, run_date string"
+    for rows in ([("a", "1", "2024-01-01")], [("b", "1", "2024-01-01")], [("a", "2", "2024-01-01")]):
+        sinks.write_reports(spark.createDataFrame(rows, schema), path)
+    sinks.compact(spark, path, schema, other)
+    for at in (path, other):
+        assert sorted((r["eval_run_id"], r["report_json"]) for r in sinks.read_reports(spark, at, schema).collect()) == [("a", "2"), ("b", "1")]
+    assert spark.read.json(other).count() == 2
+    texts = fresh_dir(spark, "markdown")
+    for run in ("a", "b", "a"):
+        sinks.write_markdown(spark.createDataFrame([(run, f"# {run}\nline")], "eval_run_id string, markdown string"), texts)
+    assert sinks.read_markdown(spark, texts).count() == 2
+
+
+def test_object_keys_with_stray_percent_signs(spark):
+    rows = spark.createDataFrame([("50%_off.json",), ("a+b%20c%2Fd",), ("%FF",), (None,)], "k string")
+    assert [r[0] for r in rows.select(triggers.decoded_key(F.col("k"))).collect()][:2] == ["50%_off.json", "a b c/d"]
+
+
 def test_batch_log_is_idempotent(spark):
     path = fresh_dir(spark, "log")
     first = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v bigint")

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import pytest
+from oracle import compare, duck
 from pyspark.sql import functions as F
 
+from runsieve.catalog import all_oracles, all_queries
 from runsieve.session import fresh_dir
-from runsieve.sources.sinks import current_rows
 from runsieve.streaming import lifecycle as S
 from runsieve.streaming.io import drain, file_stream
 
@@ -14,7 +16,7 @@ def _files(spark, label, schema, *batches):
     for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
     static = spark.read.parquet(folder).schema
-    return file_stream(spark, folder, static, "*.parquet", max_files=1)
+    return file_stream(spark, folder, static, max_files=1)
 
 
 def _ts(stream, *names):
@@ -26,8 +28,8 @@ def _ts(stream, *names):
 def test_redelivered_jobs_are_dropped_across_batches(spark):
     schema = "dedup_id string, ts string"
     stream = _files(spark, "jobs", schema, [("a", "2024-01-01 00:00:00"), ("b", "2024-01-01 00:01:00")], [("a", "2024-01-01 00:02:00"), ("c", "2024-01-01 00:03:00")])
-    log = drain(S.unique_jobs(_ts(stream, "ts"), ["dedup_id"], "ts"), "unique")
-    assert sorted(r["dedup_id"] for r in log.collect()) == ["a", "b", "c"]
+    log = drain(_ts(stream, "ts"), "unique", lambda b: S.job_keys(b, ["dedup_id"]))
+    assert sorted(r["dedup_id"] for r in S.unique_jobs(log, ["dedup_id"]).collect()) == ["a", "b", "c"]
     assert log.select("batch_id").distinct().count() >= 2
 
 
@@ -35,8 +37,8 @@ def test_progress_counts_each_shard_once(spark):
     schema = "eval_run_id string, shard_id bigint, n_cases bigint, ts string"
     day = "2024-01-01 00:00:00"
     stream = _files(spark, "done", schema, [("r", 0, 8, day), ("r", 0, 8, day), ("s", 0, 1, day)], [("r", 0, 8, day), ("r", 1, 2, day)])
-    log = drain(S.run_progress(_ts(stream, "ts"), "ts"), "progress", mode="update")
-    got = {r["eval_run_id"]: (r["completed_shards"], r["completed_cases"]) for r in current_rows(log, ["eval_run_id"]).collect()}
+    log = drain(stream, "progress", S.finished_shards)
+    got = {r["eval_run_id"]: (r["completed_shards"], r["completed_cases"]) for r in S.run_progress(log).collect()}
     assert got == {"r": (2, 10), "s": (1, 1)}
 
 
@@ -45,7 +47,7 @@ def test_timeouts_by_event_time(spark):
     ends = [("done", "2024-01-01 00:10:00"), ("slow", "2024-01-01 02:00:00"), ("x", "2024-01-01 03:00:00")] + [("done", "2024-01-01 00:10:00")] * 50
     started = _ts(_files(spark, "starts", "eval_run_id string, created_at string", starts), "created_at")
     finished = _ts(_files(spark, "ends", "eval_run_id string, finished_at string", ends), "finished_at")
-    log = drain(S.run_timeouts(started, finished, 1800), "timeouts")
+    log = S.run_timeouts(drain(started, "s", S.started_runs), drain(finished, "f", S.finished_runs), 1800)
     assert sorted(r["eval_run_id"] for r in log.collect()) == ["late", "slow"]
 
 
@@ -63,6 +65,28 @@ def test_tumbling_means_across_batches(spark):
     first = [("m", 0.85, "2024-01-01 01:00:00")] * 3 + [("m", 1.0, "2024-01-02 01:00:00")]
     second = [("m", 0.85, "2024-01-01 05:00:00")] * 4
     stream = _ts(_files(spark, "avg", schema, first, second), "ts")
-    log = drain(S.tumbling_mean(stream, "ts", ["name"], "value", "1 day", "2 days"), "avg", mode="update")
-    means = S.window_means(current_rows(log, ["name", "window_start"])).orderBy("window_start").collect()
+    log = drain(stream, "avg", lambda b: S.window_sums(b, "ts", ["name"], "value", "1 day"))
+    means = S.window_means(log, ["name"]).orderBy("window_start").collect()
     assert [(r["n"], r["mean"]) for r in means] == [(7, 0.85), (1, 1.0)]
+
+
+STREAMS = ["stream_dedup_jobs", "stream_run_progress", "stream_run_timeouts", "late_results", "metric_tumbling_avg"]
+
+
+@pytest.mark.parametrize("max_files", [1, 1000])
+@pytest.mark.parametrize("name", STREAMS)
+def test_streams_do_not_depend_on_files_or_batches(spark, monkeypatch, name, max_files, shuffled_tables):
+    """Rows dealt at random over the part files of a directory, in one batch or a batch per file."""
+    import runsieve.catalog.streams as C
+
+    monkeypatch.setattr(C, "file_stream", lambda *a, **k: file_stream(*a, **{**k, "max_files": max_files}))
+    ok, text = compare(spark, duck("/root/testdata/sf0.001"), shuffled_tables, all_queries()[name], all_oracles()[name])
+    assert ok, text
+
+
+@pytest.fixture(scope="module")
+def shuffled_tables(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("shuffled"))
+    for name in ("events", "orders", "lineitem"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(4).write.parquet(f"{folder}/{name}.parquet")
+    return folder

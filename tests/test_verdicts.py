@@ -109,3 +109,22 @@ def test_scorer_faults_stay_in_their_row(spark):
     assert rows["1"]["score"] == 0.4 and rows["1"]["error"] is None
     assert rows["2"]["score"] is None and rows["2"]["error"] == "ValueError: cannot score"
     assert scorers.apply_scorer(df, "not installed", "length").count() == 0
+
+
+def test_a_bad_row_costs_few_calls(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    def noted(pdf):
+        with calls.open("a") as out:
+            out.write("x")
+        if "bad" in set(pdf["case_id"]):
+            raise ValueError("no")
+        return pdf["case_id"].str.len().astype(float)
+
+    scorers.register_scorer("noted", noted)
+    scorers.register_scorer("short", lambda pdf: pdf["case_id"].str.len().astype(float).iloc[1:])
+    df = spark.createDataFrame([("r", "bad" if i == 700 else f"c{i}") for i in range(1024)], "eval_run_id string, case_id string").coalesce(1)
+    rows = scorers.apply_scorer(df, "noted", "length").collect()
+    assert [r["case_id"] for r in rows if r["error"]] == ["bad"] and len(rows) == 1024
+    assert len(calls.read_text()) <= 2 * 10 + 1
+    assert all("scores for 1 rows" in r["error"] for r in scorers.apply_scorer(df.limit(4), "short", "length").collect())
