@@ -21,7 +21,7 @@ _CHUNK_BITS = 16
 #: Cells with more than this many times the mean load are frequent.
 FREQUENT = 32
 #: Tokens of one task that are counted together.
-FLUSH_TOKENS = 4_000_000
+FLUSH_TOKENS = 2_000_000
 #: Sets above this size index frequent tokens alone instead of in pairs, which would be quadratic in the prefix.
 PAIRED_SIZE = 1024
 #: 64-bit words of the parity bitmap.
@@ -34,11 +34,16 @@ def min_overlap(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def _each(texts: pa.Array) -> Iterator[str | None]:
+    """Texts one by one, so that a batch is not held twice."""
+    return (t.as_py() for t in texts)
+
+
 def _describe(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, a, b, bits = [], [], [], []
-            for items in shingle_sets(batch.column(1).to_pylist(), k):
+            for items in shingle_sets(_each(batch.column(1)), k):
                 n.append(len(items))
                 x, y = digest(items)
                 a.append(x)
@@ -65,7 +70,7 @@ def _count_cells(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, held = [], 0
         for batch in batches:
-            for items in shingle_sets(batch.column(0).to_pylist(), k):
+            for items in shingle_sets(_each(batch.column(0)), k):
                 cells.append((items >> np.uint64(64 - TABLE_BITS)).astype(np.uint32))
                 held += len(items)
                 if held >= FLUSH_TOKENS:
@@ -150,7 +155,7 @@ def _index(k: int, percent: int, classes):
         table = np.frombuffer(classes.value, np.uint8)
         for batch in batches:
             ids, keys = [], []
-            for doc, items in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), k)):
+            for doc, items in zip(batch.column(0).to_pylist(), shingle_sets(_each(batch.column(1)), k)):
                 got = _prefix_keys(items, table, percent)
                 if doc is not None and len(got):
                     ids.append(doc)
@@ -167,7 +172,7 @@ def _sets(k: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                items = [x.tobytes() for x in shingle_sets(part.column(1).to_pylist(), k)]
+                items = [x.tobytes() for x in shingle_sets(_each(part.column(1)), k)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(items, pa.binary())], schema=schema)
 
     return run

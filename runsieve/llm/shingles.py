@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -53,21 +53,26 @@ def _join_words(words: np.ndarray, k: int) -> np.ndarray:
     return scramble(total)
 
 
-def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[str | None], k: int) -> Iterator[np.ndarray]:
     """The set of each text, ascending: distinct runs of ``k`` words with A-Z lower-cased; a text of fewer
-    words is one run; a text without words, or null, is the empty set."""
-    at = 0
-    while at < len(texts):
-        block, size = [], 0
-        while at < len(texts) and (not block or size < BLOCK_BYTES):
-            block.append((texts[at] or "").encode("utf-8", "surrogatepass").lower())
-            size += len(block[-1]) + 1
-            at += 1
-        starts, hashes = _word_hashes(b"\n".join(block))
-        limits = np.searchsorted(starts, np.cumsum([0] + [len(b) + 1 for b in block]))
-        for lo, hi in zip(limits[:-1], limits[1:]):
-            words = hashes[lo:hi]
-            yield np.unique(_join_words(words, min(k, len(words)))) if len(words) else words
+    words is one run; a text without words, or null, is the empty set. Texts are taken as they are needed."""
+    block, size = [], 0
+    for text in texts:
+        block.append((text or "").encode("utf-8", "surrogatepass").lower())
+        size += len(block[-1]) + 1
+        if size >= BLOCK_BYTES:
+            yield from _block_sets(block, k)
+            block, size = [], 0
+    if block:
+        yield from _block_sets(block, k)
+
+
+def _block_sets(block: list[bytes], k: int) -> Iterator[np.ndarray]:
+    starts, hashes = _word_hashes(b"\n".join(block))
+    limits = np.searchsorted(starts, np.cumsum([0] + [len(b) + 1 for b in block]))
+    for lo, hi in zip(limits[:-1], limits[1:]):
+        words = hashes[lo:hi]
+        yield np.unique(_join_words(words, min(k, len(words)))) if len(words) else words
 
 
 def digest(items: np.ndarray) -> tuple[int, int]:
