@@ -121,16 +121,15 @@ def model_response_norm(spark, sf):
         ["v_lines"],
         f"""SELECT doc_id, n_claims, n_supported, {rnd('share')} AS support FROM (
               SELECT doc_id, count(*) AS n_claims, count(*) FILTER (supported) AS n_supported, count(*) FILTER (supported) / count(*)::DOUBLE AS share
-              FROM (SELECT l.doc_id, coalesce(contains(lower(n.text), lower(string_split(l.claim, ' ')[1])), false) AS supported
+              FROM (SELECT l.doc_id, coalesce(contains(lower(n.text), lower(l.claim)), false) AS supported
                     FROM (SELECT doc_id, unnest(lines) AS claim FROM v_lines) l LEFT JOIN documents n ON n.doc_id = l.doc_id + 1) GROUP BY 1)""",
     ),
 )
 def claim_support(spark, sf):
     evidence = V.table(spark, sf, "documents").select((F.col("doc_id") - 1).alias("doc_id"), F.lower("text").alias("evidence"))
     rows = V.doc_lines(spark, sf).select("doc_id", "lines").join(evidence, "doc_id", "left")
-    word = F.lower(F.get(F.split("claim", " "), 0))
     claims = rows.select("doc_id", "evidence", F.explode("lines").alias("claim"))
-    found = F.coalesce(F.contains("evidence", word), F.lit(False))
+    found = F.coalesce(F.contains("evidence", F.lower("claim")), F.lit(False))
     return verdicts.claim_support(claims.select("doc_id", found.alias("supported")), ["doc_id"])
 
 

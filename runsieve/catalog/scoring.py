@@ -45,15 +45,12 @@ def alnum_token_sets(spark, sf):
     with_views(
         ["v_cases"],
         f"""SELECT case_id, {shared('q', 'a')} AS shared, len(q) AS n_query, len(a) AS n_answer
-            FROM (SELECT case_id, {words('query')} AS q, {words('reply')} AS a FROM v_cases WHERE reply IS NOT NULL)""",
+            FROM (SELECT case_id, {words('query')} AS q, {words("coalesce(reply, '')")} AS a FROM v_cases)""",
     ),
 )
 def token_overlap(spark, sf):
-    t = (
-        V.cases(spark, sf)
-        .filter(F.col("recorded_trace").isNotNull())
-        .select("case_id", ws_tokens(F.col("query")).alias("q"), ws_tokens(F.col("recorded_trace.answer")).alias("a"))
-    )
+    answer = F.coalesce("recorded_trace.answer", F.lit(""))
+    t = V.cases(spark, sf).select("case_id", ws_tokens(F.col("query")).alias("q"), ws_tokens(answer).alias("a"))
     return t.select(
         "case_id",
         shared_count(F.col("q"), F.col("a")).cast("bigint").alias("shared"),

@@ -183,8 +183,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "v_judge": (
         (),
         """
-        SELECT d.doc_id, d.doc_id % 10 AS shape, (d.n_chars % 101) / 100.0::DOUBLE AS points, l.quality = 1 AS good, l.quality, l.toxic
-        FROM documents d JOIN labels l ON l.doc_id = d.doc_id""",
+        SELECT d.doc_id, d.doc_id % 10 AS shape, (d.n_chars % 101) / 100.0::DOUBLE AS points, coalesce(l.quality = 1, false) AS good, l.quality, l.toxic
+        FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     ),
 }
 

@@ -185,9 +185,9 @@ def manifest_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents as judge replies in ten textual shapes."""
+    """Documents as judge replies in ten textual shapes; one without a label is judged not passed."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels")
-    d = docs.join(labels, "doc_id")
+    d = docs.join(labels, "doc_id", "left")
     points = F.lpad((F.col("n_chars") % 101).cast("string"), 3, "0")
     number = F.concat(F.substring(points, 1, 1), F.lit("."), F.substring(points, 2, 2))
     flag = F.when(F.col("quality") == 1, "true").otherwise("false")
