@@ -382,7 +382,7 @@ def resolve_trace(spark, sf):
     )
 
 
-def _worker_views() -> dict[str, str]:
+def worker_views() -> dict[str, str]:
     """The default-trace scoring steps applied to the traces resolved by mode."""
     steps = dict(_RANKED)
     steps["w_traces"] = """
@@ -407,7 +407,7 @@ def _worker_views() -> dict[str, str]:
                   error IS NULL AND faithfulness >= 0.85::DOUBLE AND answer_relevance >= 0.85::DOUBLE
                   AND tool_selection_precision >= 0.85::DOUBLE AS case_passed
            FROM w_metrics""",
-        _worker_views(),
+        worker_views(),
     ),
 )
 def evaluate_cases(spark, sf):

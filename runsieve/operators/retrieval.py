@@ -22,12 +22,13 @@ def merged_corpus(expected: Column, recorded: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(both, strip), lambda x: x != ""))
 
 
-def rank_case_passages(cases: DataFrame, k: int = 4, out: str = "passages") -> DataFrame:
+def rank_case_passages(cases: DataFrame, k: int = 4, out: str = "passages", only: Column | None = None) -> DataFrame:
     """Rank a case's own passages for its query and keep the first ``k``.
 
     Score is shared tokens / sqrt(passage tokens); ties keep corpus order and
     passages with score 0 may fill up to ``k``. Without query tokens the first
-    ``k`` passages are kept. Row-local: no shuffle.
+    ``k`` passages are kept. Row-local: no shuffle. Rows on which ``only`` is not
+    true are not ranked and get NULL.
     """
     recorded = F.col("recorded_trace")["retrieved_contexts"]
 
@@ -42,7 +43,8 @@ def rank_case_passages(cases: DataFrame, k: int = 4, out: str = "passages") -> D
     # Without query tokens every score is 0, so the corpus order stays.
     passages = F.transform(merged_corpus(F.col("expected_contexts"), recorded), tokenised)
     ranked = let(alnum_tokens(F.col("query")), lambda q: F.array_sort(F.transform(passages, lambda p: scored(q, p))))
-    return cases.withColumn(out, F.transform(F.slice(ranked, 1, k), lambda s: s["passage"]))
+    first = F.transform(F.slice(ranked, 1, k), lambda s: s["passage"])
+    return cases.withColumn(out, first if only is None else F.when(only, first))
 
 
 class _QueryBlock:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runsieve.functions.text import n_items, or_arr, or_str
+from runsieve.functions.text import n_items, or_arr, or_str, strip
 from runsieve.operators.retrieval import rank_case_passages
 from runsieve.schemas import ALLOWED_TOOLS
 
@@ -83,13 +83,15 @@ def normalise_responses(responses: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-def resolve_traces(cases: DataFrame, responses: DataFrame, k: int = 4) -> DataFrame:
+def resolve_traces(cases: DataFrame, responses: DataFrame, k: int = 4, candidate_replies: DataFrame | None = None) -> DataFrame:
     """Add answer, retrieved_contexts, tool_names, tool_calls and error per case.
 
     ``cases`` carries ``eval_mode`` and ``agent_endpoint`` columns; ``responses``
     holds normalised live replies keyed by (eval_run_id, case_id), with an
-    optional ``status_code``. A case that cannot be resolved gets an error text
-    instead of a failed stage.
+    optional ``status_code``. ``candidate_replies`` holds the texts of the candidate
+    model as ``reply_text`` under the same key; a missing or blank one gives the
+    fallback answer. A case that cannot be resolved gets an error text instead of
+    a failed stage.
     """
     keys = ["eval_run_id", "case_id"]
     live = responses.select(
@@ -97,12 +99,17 @@ def resolve_traces(cases: DataFrame, responses: DataFrame, k: int = 4) -> DataFr
         F.struct("answer", "retrieved_contexts", "tool_calls").alias("_live"),
         (F.col("status_code") if "status_code" in responses.columns else F.lit(200)).alias("_status"),
     )
-    joined = replayed_calls(
-        rank_case_passages(cases.join(live, keys, "left"), k=k, out="_ranked"), out="_replayed"
-    )
     recorded, mode = F.col("recorded_trace"), F.col("eval_mode")
+    whole = cases.join(live, keys, "left")
+    if candidate_replies is None:
+        whole = whole.withColumn("_said", F.lit(None).cast("string"))
+    else:
+        whole = whole.join(candidate_replies.select(*keys, strip(F.col("reply_text")).alias("_said")), keys, "left")
+    joined = replayed_calls(rank_case_passages(whole, k=k, out="_ranked", only=mode == "candidate"), out="_replayed")
     candidate = F.struct(
-        fallback_answer(recorded["answer"], F.col("expected_answer"), F.col("_ranked")).alias("answer"),
+        F.coalesce(
+            or_str(F.col("_said")), fallback_answer(recorded["answer"], F.col("expected_answer"), F.col("_ranked"))
+        ).alias("answer"),
         F.col("_ranked").alias("retrieved_contexts"),
         F.col("_replayed").alias("tool_calls"),
     )
@@ -134,7 +141,7 @@ def resolve_traces(cases: DataFrame, responses: DataFrame, k: int = 4) -> DataFr
         .withColumn("retrieved_contexts", F.coalesce("_trace.retrieved_contexts", F.array().cast(_TEXTS)))
         .withColumn("tool_calls", F.coalesce("_trace.tool_calls", F.array().cast(_CALLS)))
         .withColumn("tool_names", F.transform("tool_calls", lambda c: c["name"]))
-        .drop("_live", "_status", "_ranked", "_replayed", "_trace")
+        .drop("_live", "_status", "_said", "_ranked", "_replayed", "_trace")
     )
 
 

@@ -80,11 +80,13 @@ def model_replies(df: DataFrame, body: str = "body") -> DataFrame:
 
 
 def judge_verdicts(replies: DataFrame, text: str = "reply_text", threshold: Column | float = PASS_CUTOFF) -> DataFrame:
-    """Add score, passed, reasoning, chain_of_thought, n_claims, raw_keys, parsed_ok.
+    """Add score, passed, reasoning, chain_of_thought, claims, n_claims, raw_keys, details, parsed_ok.
 
     ``passed`` is the truth of the field when the reply has it (the string
     "false" is true), else score >= threshold. Unreadable replies score 0 and
-    keep the start of the text as their chain of thought.
+    keep the start of the text as their chain of thought. ``claims`` holds the
+    claims that are objects; ``details`` is JSON with all of them and the keys. With
+    a NULL threshold ``passed`` is NULL where the reply does not say it.
     """
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     p = F.col("_parsed")
@@ -114,10 +116,20 @@ def judge_verdicts(replies: DataFrame, text: str = "reply_text", threshold: Colu
             "n_claims",
             n_items(F.try_variant_get(p, "$.claims", "array<variant>")).cast("bigint"),
         )
+        .withColumn("claims", F.coalesce(F.try_variant_get(p, "$.claims", _CLAIMS), F.array().cast(_CLAIMS)))
+        .withColumn(
+            "details",
+            F.concat(
+                F.lit('{"claims":'),
+                F.when(truthy(field("claims")), F.to_json(field("claims"))).otherwise("[]"),
+                F.lit(',"raw_keys":'), F.to_json("raw_keys"), F.lit("}"),
+            ),
+        )
         .drop("_parsed")
-    )
+    )
 
 
+_CLAIMS = "array<struct<claim:string,supported:boolean,evidence:string>>"
 _NOT_JSON = "The judge's reply held no JSON object."
 # Fixed value: the fields an unreadable reply is reported with, in sorted order.
 _FAILED_KEYS = ("chain_of_thought", "claims", "passed", "reasoning", "score")
