@@ -17,7 +17,7 @@ RUN = "eval_run_id"
 _NAMES = "['faithfulness', 'answer_relevance', 'tool_selection_precision']"
 
 
-def _aggregates(scores: str, runs: str, rates: str | None = None) -> dict[str, str]:
+def aggregate_steps(scores: str, runs: str, rates: str | None = None) -> dict[str, str]:
     """CTEs from a score view and a run list to aggregates, counts and gates.
 
     ``scores`` has eval_run_id, metric, score; ``runs`` eval_run_id, total_cases,
@@ -130,7 +130,7 @@ def case_passed(spark, sf):
     with_views(
         ["v_last_scores"],
         'SELECT eval_run_id, metric, mean, p50, p95, "min", "max", n, pass_rate, threshold, gated FROM aggs',
-        {"x_runs": _EVENT_RUNS["x_runs"], **_aggregates("v_last_scores", "x_runs")},
+        {"x_runs": _EVENT_RUNS["x_runs"], **aggregate_steps("v_last_scores", "x_runs")},
     ),
 )
 def metric_aggregates(spark, sf):
@@ -154,7 +154,7 @@ def metric_percentiles(spark, sf):
     return agg.metric_percentiles(V.scores(spark, sf), {"p50": 0.5, "p95": 0.95})
 
 
-_STEPS = {**_EVENT_RUNS, **_aggregates("v_last_scores", "x_runs", "x_counts")}
+_STEPS = {**_EVENT_RUNS, **aggregate_steps("v_last_scores", "x_runs", "x_counts")}
 _VIEWS = ["v_last_scores", "v_case_flags"]
 
 
@@ -240,7 +240,7 @@ _DATASET = {
                count(*) FILTER (least(faithfulness, answer_relevance, tool_selection_precision) < 0.85::DOUBLE) AS failed_cases,
                0::BIGINT AS error_cases FROM v_metrics GROUP BY 1""",
     "d_runs": "SELECT eval_run_id, completed_cases AS total_cases, false AS timed_out FROM d_counts",
-    **_aggregates("d_scores", "d_runs", "d_counts"),
+    **aggregate_steps("d_scores", "d_runs", "d_counts"),
     "texts": _METRIC_TEXT,
 }
 
@@ -366,7 +366,8 @@ _KEY = "CAST(eval_run_id AS BIGINT)"
                    CASE WHEN repo IS NOT NULL AND sha IS NOT NULL THEN CASE WHEN gate_passed THEN 'success' ELSE 'failure' END END AS check_conclusion,
                    CASE WHEN repo IS NOT NULL AND sha IS NOT NULL THEN {_TITLE} END AS check_title,
                    CASE WHEN repo IS NOT NULL AND sha IS NOT NULL THEN markdown END AS check_summary,
-                   CASE WHEN repo IS NOT NULL AND sha IS NOT NULL AND pr <> 0 THEN markdown END AS comment_body
+                   CASE WHEN repo IS NOT NULL AND sha IS NOT NULL AND pr <> 0 THEN markdown END AS comment_body,
+                   repo, sha AS git_sha, pr AS pr_number
             FROM (SELECT *, CASE WHEN gate_passed THEN 'gate_passed' WHEN {_KEY} % 5 = 0 THEN 'missing_webhook' END AS chat_skip_reason,
                          CASE WHEN {_KEY} % 7 <> 0 THEN 'acme/agent' END AS repo, CASE WHEN {_KEY} % 3 <> 0 THEN 'sha' || eval_run_id END AS sha,
                          {_KEY} % 4 AS pr FROM marked)""",

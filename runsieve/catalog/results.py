@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runsieve.catalog import views as V
+from runsieve.catalog.aggregates import aggregate_steps
 from runsieve.catalog.registry import query
 from runsieve.catalog.scoring import worker_views
-from runsieve.catalog.sql import rnd, strip, with_views
+from runsieve.catalog.sql import fixed, percent, rnd, strip, with_views
 from runsieve.operators.verdicts import external_scores
 from runsieve.plans import cases as plan
+from runsieve.plans.runs import aggregate_runs, run_outputs, stored_results
+from runsieve.session import fresh_dir
+from runsieve.sources.results import parse_result_documents, read_result_documents
+from runsieve.sources.state import decode_runs, run_items
 
 RUN = "eval_run_id"
 _KEY = [RUN, "case_id"]
@@ -151,3 +156,96 @@ def case_results(spark, sf):
         of("faithfulness", "judge_model_id").alias("judged_by"), of("faithfulness", "details").alias("details"),
         "input_tokens", "output_tokens", "case_passed",
     )
+
+
+_AS_OF, _TIMEOUT = "1998-06-01 00:00:00", 30 * 86400
+
+
+def _stored_rows(spark, sf) -> DataFrame:
+    """Case results written as one file per (run, block of conversations) and read back; some cases of two
+    runs are missing, some files are delivered twice."""
+    conv = F.split("case_id", "-")[0].cast("bigint")
+    rows = _results(spark, sf).drop("has_error", "case_passed").withColumn("shard_id", F.floor(conv / 50))
+    kept = rows.filter(~(F.col(RUN).isin("run-3", "run-4") & (conv % 3 == 0)))
+    files = kept.groupBy(RUN, "shard_id").agg(F.collect_list(F.struct(*rows.columns)).alias("results"))
+    copies = F.explode(F.when(F.col("shard_id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("delivery")
+    folder = fresh_dir(spark, "result-files")
+    placed = files.select("results", F.col(RUN).alias("run"), F.col("shard_id").alias("shard"), copies)
+    placed.write.partitionBy("run", "shard", "delivery").json(folder)
+    return stored_results(parse_result_documents(read_result_documents(spark, folder)))
+
+
+def _manifests(spark, sf) -> DataFrame:
+    """One stored manifest per run, each with thresholds of its own."""
+    k = F.substring(RUN, 5, 1).cast("int")
+    counts = V.table(spark, sf, "conversations").filter("role = 'user'").groupBy(F.concat(F.lit("run-"), F.col("conv_id") % 8).alias(RUN))
+    limits = F.struct((F.lit(0.3) + F.lit(0.05) * k).alias("overall"), (F.lit(0.1) * k).alias("max_error_rate"))
+    source = F.struct(F.lit("acme/agent").alias("repo"), k.alias("pr_number"), F.concat(F.lit("sha"), k).alias("git_sha"))
+    runs = counts.agg(F.count("*").alias("total_cases")).withColumns(
+        {
+            "status": F.when(k.isin(0, 2), "pass").otherwise("running"),
+            "total_shards": F.lit(1_000_000_000),
+            "completed_shards": F.lit(0).cast("bigint"),
+            "completed_cases": F.lit(None).cast("bigint"),
+            "thresholds": limits,
+            "source": source,
+            "created_at": F.when(k == 4, "1998-01-01T00:00:00Z").otherwise("1998-05-31T00:00:00Z"),
+        }
+    )
+    return decode_runs(run_items(runs)).withColumn("force", k == 2)
+
+
+_RUN_STEPS = {
+    **_steps(),
+    "kept": "SELECT * FROM r_scored WHERE NOT (eval_run_id IN ('run-3', 'run-4') AND conv_id % 3 = 0)",
+    "sized": """
+        SELECT eval_run_id, CAST(substr(eval_run_id, 5, 1) AS BIGINT) AS k, count(*) AS total_cases FROM v_cases GROUP BY 1""",
+    "counted": """
+        SELECT eval_run_id, count(*) AS completed_cases, count(*) FILTER (error IS NOT NULL) AS error_cases,
+               count(*) FILTER (error IS NULL AND faithfulness_passed AND answer_relevance_passed AND tool_selection_precision >= 0.85::DOUBLE) AS passed_cases,
+               sum(CASE WHEN error IS NULL AND scorer = 'judge' THEN 2 * size ELSE 0 END) AS tokens_in,
+               sum(CASE WHEN error IS NULL AND scorer = 'judge' THEN 2 * step ELSE 0 END) AS tokens_out
+        FROM kept GROUP BY 1""",
+    "a_runs": """
+        SELECT s.*, c.* EXCLUDE (eval_run_id), k = 4 AND completed_cases < total_cases AS timed_out,
+               0.3::DOUBLE + 0.05::DOUBLE * k AS overall_min, 0.1::DOUBLE * k AS error_max
+        FROM sized s JOIN counted c USING (eval_run_id) WHERE k <> 0 AND (k IN (2, 4) OR completed_cases >= total_cases)""",
+    "a_scores": """
+        SELECT eval_run_id, unnest(['faithfulness', 'answer_relevance', 'tool_selection_precision']) AS metric,
+               unnest([faithfulness, answer_relevance, tool_selection_precision]) AS score
+        FROM kept WHERE error IS NULL AND eval_run_id IN (SELECT eval_run_id FROM a_runs)""",
+    **aggregate_steps("a_scores", "a_runs"),
+    "rated": """
+        SELECT *, passed_cases / completed_cases::DOUBLE AS raw_pass, error_cases / completed_cases::DOUBLE AS raw_error,
+               tokens_in / 1e6::DOUBLE * 0.8::DOUBLE + tokens_out / 1e6::DOUBLE * 4.0::DOUBLE AS raw_cost
+        FROM a_runs JOIN overall USING (eval_run_id)""",
+    "judged": f"""
+        SELECT *, list_filter([
+                 CASE WHEN timed_out THEN 'timed out with ' || completed_cases || ' of ' || total_cases || ' cases done' END,
+                 CASE WHEN raw_error > error_max THEN 'error rate ' || {percent('raw_error', 2)} || ' is above ' || {percent('error_max', 2)} END,
+                 CASE WHEN overall_score < overall_min
+                      THEN 'overall score ' || {fixed('overall_score', 3)} || ' is below ' || {fixed('overall_min', 3)} END],
+                 lambda x: x IS NOT NULL) AS failures FROM rated""",
+}
+
+
+@query(
+    "aggregate_runs",
+    with_views(
+        ["v_called"],
+        f"""SELECT eval_run_id, CASE WHEN len(failures) > 0 THEN 'fail' ELSE 'pass' END AS status, array_to_string(failures, '; ') AS failures,
+                   overall_score, total_cases, completed_cases, passed_cases, completed_cases - passed_cases - error_cases AS failed_cases,
+                   error_cases, {rnd('raw_pass')} AS pass_rate, {rnd('raw_error')} AS error_rate, {rnd('raw_cost', 6)} AS estimated_cost_usd,
+                   'sha' || k AS git_sha, k AS pr_number, CASE WHEN len(failures) > 0 THEN 'failure' ELSE 'success' END AS check_conclusion
+            FROM judged""",
+        _RUN_STEPS,
+    ),
+)
+def aggregate_runs_query(spark, sf):
+    rows = _stored_rows(spark, sf)
+    reports = aggregate_runs(rows, _manifests(spark, sf), F.lit(_AS_OF).cast("timestamp"), _TIMEOUT)
+    outbox = run_outputs(reports, rows, "s3://results", "test", F.lit(True), F.lit(True))["outbox"]
+    return reports.join(outbox.select(RUN, "git_sha", "pr_number", "check_conclusion"), RUN).select(
+        RUN, "status", F.array_join("failures", "; ").alias("failures"), "overall_score", "total_cases", "completed_cases", "passed_cases",
+        "failed_cases", "error_cases", "pass_rate", "error_rate", "estimated_cost_usd", "git_sha", "pr_number", "check_conclusion",
+    )

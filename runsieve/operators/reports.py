@@ -69,7 +69,7 @@ def markdown(report: DataFrame, out: str = "markdown") -> DataFrame:
 def notification_outbox(report: DataFrame, repo: Column, git_sha: Column, pr_number: Column, has_webhook: Column, has_token: Column) -> DataFrame:
     """Messages to send for a run, or the reason why none is sent.
 
-    Nothing is delivered here; a sender reads this table.
+    Nothing is delivered here; a sender reads this table, which also says where to: repo, git_sha, pr_number.
     """
     df = titles(markdown(report)).select("*", repo.alias("_repo"), git_sha.alias("_sha"), pr_number.alias("_pr"))
     passed = F.col("gate_passed")
@@ -91,7 +91,8 @@ def notification_outbox(report: DataFrame, repo: Column, git_sha: Column, pr_num
         .withColumn("comment_body", F.when(known & (F.coalesce("_pr", F.lit(0)) != 0), F.col("markdown")))
         .select(
             "eval_run_id", "chat_skip_reason", "chat_text", "chat_block", "check_skip_reason", "check_conclusion",
-            "check_title", "check_summary", "comment_body",
+            "check_title", "check_summary", "comment_body", or_str(F.col("_repo")).alias("repo"),
+            or_str(F.col("_sha")).alias("git_sha"), F.col("_pr").alias("pr_number"),
         )
     )
 

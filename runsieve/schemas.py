@@ -49,6 +49,7 @@ class Thresholds:
         return F.struct(*[F.lit(float(getattr(self, f.name))).alias(f.name) for f in fields(self)])
 
 
+THRESHOLDS = T.StructType([T.StructField(f.name, T.DoubleType()) for f in fields(Thresholds)])
 TOOL_CALL = T.StructType(
     [
         T.StructField("name", T.StringType()),
@@ -145,15 +146,29 @@ RUN_MANIFEST = T.StructType(
         T.StructField("eval_run_id", T.StringType()),
         T.StructField("status", T.StringType()),
         T.StructField("dataset_s3_uri", T.StringType()),
+        T.StructField("dataset_version", T.StringType()),
+        T.StructField("dataset_name", T.StringType()),
+        T.StructField("dataset_manifest_id", T.StringType()),
         T.StructField("total_cases", T.LongType()),
         T.StructField("total_shards", T.LongType()),
         T.StructField("completed_shards", T.LongType()),
         T.StructField("completed_cases", T.LongType()),
+        T.StructField("eval_mode", T.StringType()),
+        T.StructField("eval_backend", T.StringType()),
         T.StructField("judge_model_id", T.StringType()),
+        T.StructField("candidate_model_id", T.StringType()),
+        T.StructField("agent_endpoint", T.StringType()),
+        T.StructField("source", SOURCE_REF),
+        T.StructField("thresholds", THRESHOLDS),
         T.StructField("created_at", T.StringType()),
+        T.StructField("updated_at", T.StringType()),
+        T.StructField("expires_at_epoch", T.LongType()),
     ]
 )
 
+#: What a run manifest says where a field is absent.
+RUN_DEFAULTS = {"dataset_version": "1.0", "dataset_name": "golden", "eval_mode": "candidate", "eval_backend": "deepeval"}
+
 
 def column_list(schema: T.StructType) -> list[str]:
     return [f.name for f in schema.fields]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runsieve.functions.text import or_str
 from runsieve.operators.ranking import latest_by
-from runsieve.schemas import DATASET_MANIFEST, RUN_MANIFEST, RUN_STATUSES
+from runsieve.schemas import DATASET_MANIFEST, RUN_DEFAULTS, RUN_MANIFEST, RUN_STATUSES, THRESHOLDS, Thresholds, column_list
 
 
 def manifest_items(manifests: DataFrame) -> DataFrame:
@@ -44,19 +44,24 @@ def decode_runs(items: DataFrame) -> DataFrame:
     """Run rows from stored items.
 
     The item's own counters and status win over its payload; an unknown status
-    keeps the payload's; an item without a payload gets ``decode_error``.
+    keeps the payload's; an item without a payload gets ``decode_error``. All fields
+    of ``RUN_MANIFEST`` are read; absent settings and thresholds take their defaults.
     """
     p = F.col("_p")
     known = F.when(F.col("status").isin(*RUN_STATUSES), F.col("status"))
     decoded = items.withColumn("_p", F.from_json("payload", RUN_MANIFEST))
+    limits = Thresholds()
+    values = {
+        "eval_run_id": F.col("eval_run_id"),
+        "status": F.coalesce(known, p["status"]),
+        "completed_shards": F.coalesce("completed_shards", p["completed_shards"]),
+        "completed_cases": F.coalesce("completed_cases", p["completed_cases"]),
+        "thresholds": F.struct(
+            *[F.coalesce(p["thresholds"][n], F.lit(getattr(limits, n))).alias(n) for n in column_list(THRESHOLDS)]
+        ),
+        **{name: F.coalesce(p[name], F.lit(default)) for name, default in RUN_DEFAULTS.items()},
+    }
     return decoded.select(
-        "eval_run_id",
-        F.coalesce(known, p["status"]).alias("status"),
-        p["dataset_s3_uri"].alias("dataset_s3_uri"),
-        p["total_cases"].alias("total_cases"),
-        p["total_shards"].alias("total_shards"),
-        F.coalesce("completed_shards", p["completed_shards"]).alias("completed_shards"),
-        F.coalesce("completed_cases", p["completed_cases"]).alias("completed_cases"),
-        p["created_at"].alias("created_at"),
+        *[values.get(n, p[n]).alias(n) for n in column_list(RUN_MANIFEST)],
         F.when(F.col("payload").isNull(), F.lit("item has no payload")).alias("decode_error"),
     )
