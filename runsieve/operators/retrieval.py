@@ -12,6 +12,7 @@ from pyspark.sql import Window
 
 from runsieve.functions.arrays import let
 from runsieve.functions.text import alnum_tokens, shared_count, strip
+from runsieve.operators.ranking import materialise
 
 _TEXTS = "array<string>"
 
@@ -123,7 +124,9 @@ def lexical_top_k(
     The query side is broadcast in blocks: its total token count is measured
     first and split into as many blocks as it takes to stay below
     ``max_block_tokens`` each. One block is the usual case; more blocks mean more
-    passes over the corpus, never fewer results.
+    passes over the corpus, never fewer results. With more than one, a block's
+    rows are checkpointed and its broadcast is dropped before the next one is
+    built, so driver and executors never hold two.
     """
     spark = queries.sparkSession
     tokenised = queries.select("query_id", alnum_tokens(F.col("query")).alias("tokens")).filter(F.size("tokens") > 0)
@@ -141,8 +144,11 @@ def lexical_top_k(
             continue
         block = spark.sparkContext.broadcast(_QueryBlock([r[0] for r in rows], [r[1] for r in rows]))
         # Keep the dense score matrix of one step near 64 MB.
-        step = max(16, 8_000_000 // len(rows))
+        step = max(1, 8_000_000 // len(rows))
         found = corpus.mapInPandas(_task_top_k(block, k, step), schema)
+        if n_blocks > 1:
+            found = materialise(found)
+            block.destroy()
         partial = found if partial is None else partial.unionByName(found)
     if partial is None:
         return spark.createDataFrame([], schema + ", rank int")

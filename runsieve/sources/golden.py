@@ -22,7 +22,10 @@ def parse_golden(df: DataFrame, text: str) -> DataFrame:
 
 
 def case_rows(datasets: DataFrame, dataset_id: Column) -> DataFrame:
-    """One row per case with its position and defaults for absent fields."""
+    """One row per case with its position and defaults for absent fields.
+
+    A set is one document, read by one task; its cases are dealt over all tasks by (set, position).
+    """
     texts, calls = F.array().cast("array<string>"), "array<struct<name:string,arguments:string,result:string>>"
     rows = datasets.select(
         dataset_id.alias("dataset_id"),
@@ -30,7 +33,7 @@ def case_rows(datasets: DataFrame, dataset_id: Column) -> DataFrame:
         F.coalesce("name", F.lit("golden")).alias("dataset_name"),
         "cases",
     )
-    rows = explode_once(rows, "cases", "_c", "pos")
+    rows = explode_once(rows, "cases", "_c", "pos").drop("cases").repartition("dataset_id", "pos")
     c = F.col("_c")
     return rows.select(
         "dataset_id",
