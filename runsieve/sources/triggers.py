@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from runsieve.functions.text import or_str
 
 
+# Fields of a direct trigger beside those that name the data set.
+FIELDS = (
+    "eval_run_id", "git_sha", "repo", "eval_mode", "eval_backend", "judge_model_id", "candidate_model_id", "agent_endpoint",
+)
+NUMBERS = ("pr_number", "check_run_id")
+
+
 def decoded_key(key: Column) -> Column:
     """URL-decoded object key; a ``%`` that starts no escape stays, and a key that still does not decode
     to text stays as it is."""
@@ -35,7 +42,8 @@ def normalise_triggers(events: DataFrame, body: str = "event") -> DataFrame:
 
     Order: first storage record; ``detail`` with bucket and object; else the
     fields of ``detail`` overlaid by the top level. Keys of the first two are
-    URL-decoded, with + as a space.
+    URL-decoded, with + as a space; only the third has further fields (``FIELDS``
+    as text, ``NUMBERS`` as integers), which are NULL when absent.
     """
     v = F.col("_v")
 
@@ -71,5 +79,7 @@ def normalise_triggers(events: DataFrame, body: str = "event") -> DataFrame:
             "dataset_id",
             F.when(~record & ~nested, or_str(merged("dataset_id"), merged("dataset_manifest_id"))),
         )
+        .withColumns({name: F.when(~record & ~nested, merged(name)) for name in FIELDS})
+        .withColumns({name: F.when(~record & ~nested, merged(name)).try_cast("bigint") for name in NUMBERS})
         .drop("_v")
     )
