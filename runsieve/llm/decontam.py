@@ -45,7 +45,7 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def _anchors(words: DataFrame, df: DataFrame, window: int) -> DataFrame:
     """Per item the two rarest positions of each window: ``(item, a, a_term, b, b_term)``, distinct."""
-    ranked = words.join(F.broadcast(df), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    ranked = words.join(small_side(df), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     span = Window.partitionBy("item_id", "_it").orderBy("ipos").rowsBetween(0, window - 1)
     place = F.struct("df", "ipos", "term")
     seen = F.array_sort(F.collect_list(place).over(span))
