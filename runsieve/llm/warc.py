@@ -12,8 +12,6 @@ from runsieve.session import fresh_dir
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Longest header block that the reader accepts, in bytes.
-HEADER_BYTES = 65536
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -102,11 +100,12 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     head_bytes = F.octet_length(header) + len(END)
     size = F.regexp_extract("header", r"(?i)(?:^|\n)Content-Length: *([0-9]{1,18})\r?(?:\n|$)", 1).try_cast("bigint")
     rows = raw.withColumn("header", header).withColumn("bytes", F.octet_length("value").cast("bigint")).withColumn("head", head_bytes).withColumn("size", size)
-    rows = rows.withColumn("header", F.when(F.col("head") <= HEADER_BYTES, F.col("header")))
+    # A header of any length counts; text before a blank line without a length is none and is not stored.
+    rows = rows.withColumn("header", F.when(F.col("size").isNotNull(), F.col("header")))
     whole = F.col("head") + F.col("size") + len(END) == F.col("bytes")
     payload = F.substring(F.col("value").cast("binary"), F.col("head") + 1, F.col("size").cast("int"))
     rows = rows.select(
-        "file", "part", "nth", "header", "bytes", "head", F.when(F.col("header").isNotNull(), F.col("size")).alias("size"),
+        "file", "part", "nth", "header", "bytes", "head", "size",
         F.when(whole, base32_sha1(payload)).alias("digest"),
     )
     rows = stored(rows, "candidates")

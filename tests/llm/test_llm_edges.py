@@ -149,6 +149,16 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_long_url(spark, tmp_path):
+    """A header block above 64 KB does not end the chain of its file, and its revisit finds it."""
+    rows = [(1, "http://a/" + "x" * 200_000, "<p>long</p>"), (2, "u", "<p>long</p>"), (3, "v" * 70_000, "WARC/1.1\r\nabc"), (4, "w", "<p>last</p>")]
+    path = str(tmp_path / "warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    got = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
+    assert {i: (r.url, r.payload_bytes) for i, r in got.items()} == {i: (url, len(html)) for i, url, html in rows}
+    assert got[2].refers_to == 1 and all(r.payload_digest for r in got.values())
+
+
 def brute_groups(rows, k, percent):
     sets = {}
     for i, t in rows:
