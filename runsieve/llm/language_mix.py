@@ -146,12 +146,19 @@ def identified(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``docs`` without the documents whose language is undetermined; all columns and repeats stay.
 
     The rejected rows are told by their text alone, so they are dropped in the pass that predicts them.
+    Without a labelled document (``lang`` null or empty everywhere) the model has no languages; then only
+    texts that are null or have no letter are rejected.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs if known is None else known))
 
+    def determined(text: str | None) -> bool:
+        if not model.value.names:
+            return bool(text and _LETTER.search(text))
+        return infer(model.value, text)[0] != "und"
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array([infer(model.value, t.as_py())[0] != "und" for t in texts], pa.bool_()))
+            yield batch.filter(pa.array([determined(t.as_py()) for t in texts], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from runsieve.llm import compression, cover_tree, decontam, language_mix, line_dedup, mixing, ngram_join, pii, sharding, warc
 from runsieve.llm.components import connected
 from runsieve.llm.shingles import parity, shingle_sets
@@ -271,3 +272,11 @@ def test_language_edges(docs, spark):
     assert language_mix.languages(docs([]), known).count() == 0
     kept = language_mix.identified(docs(rows).withColumn("lang", F.lit(None).cast("string")), known)
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 4, 5, 5, 6, 50, 51, 52]
+
+
+@pytest.mark.parametrize("lang", [None, ""])
+def test_language_stage_without_labels(docs, spark, lang):
+    rows = docs([*EDGES, (50, "a clean text"), (53, "123 !?")])
+    rows = rows.select("doc_id", "text", F.lit(lang).cast("string").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("bigint").alias("n_chars"))
+    kept = corpus_pipeline.identify(spark, rows, "")
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 4, 5, 5, 6, 50]
