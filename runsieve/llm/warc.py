@@ -11,6 +11,8 @@ from runsieve.session import fresh_dir
 # Fixed values of the format.
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
+#: Marks of segments that may be broadcast; beyond it the second scan keeps all texts.
+MARKS = 100_000
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -86,13 +88,49 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Stored ``rows`` of one scan, with ``bytes`` of each segment, at their offsets ``at`` and ``end``.
+
+    The offset is the bytes of all segments and magics before; they are added up inside a split, then over
+    the splits of a file. ``part`` and ``nth`` hold for this scan only: another scan may cut and number
+    the splits in another way, offsets stay the same.
+    """
+    in_split = Window.partitionBy("file", "part").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    step = F.col("bytes") + len(MAGIC)
+    splits = rows.groupBy("file", "part").agg(F.sum(step).alias("_n"))
+    earlier = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    rows = rows.withColumn("_in", F.coalesce(F.sum(step).over(in_split), F.lit(0))).join(splits, ["file", "part"])
+    at = F.col("_base") + F.col("_in") - len(MAGIC)
+    return rows.withColumn("at", at).withColumn("end", at + step).filter("at >= 0").drop("_base", "_in")
+
+
+def texts_at(spark: SparkSession, path: str, pieces: DataFrame) -> DataFrame:
+    """``file, at, value`` of the segments of ``pieces`` (``file, at, mark``) from one more scan.
+
+    Offsets are those of this scan itself. The marks only tell which texts may be wanted, so that the
+    others need not be stored; if there are too many marks to broadcast, all texts are.
+    """
+    marks = stored(pieces.select(F.col("mark").alias("_mark")).distinct(), "marks")
+    n = marks.limit(MARKS + 1).count()
+    if n == 0:
+        return pieces.select("file", "at", F.lit("").alias("value"))
+    seen = segments(spark, path).withColumn("bytes", F.octet_length("value").cast("bigint"))
+    if n <= MARKS:
+        seen = seen.join(F.broadcast(marks), F.xxhash64("value") == F.col("_mark"), "left")
+        seen = seen.withColumn("value", F.when(F.col("_mark").isNotNull(), F.col("value"))).drop("_mark")
+    seen = stored(seen, "texts")
+    wanted = placed(seen.select("file", "part", "nth", "bytes")).join(pieces.select("file", "at"), ["file", "at"], "left_semi")
+    return seen.join(wanted.select("file", "part", "nth", "at"), ["file", "part", "nth"]).select("file", "at", "value")
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every place with a magic: ``file, part, nth, at, end, next`` with header fields and payload digest.
+    """Every place with a magic: ``file, at, end, next`` with header fields, payload digest and ``mark``, a
+    hash of the segment.
 
     ``at`` is the byte offset of the magic, ``end`` that of the next magic or the end of the file, and
-    ``next`` that of the successor by the candidate's own header (null without a valid header). The
-    offset is the bytes of all segments and magics before; they are added up inside a split, then over
-    the splits of a file. Payloads stay in the scan.
+    ``next`` that of the successor by the candidate's own header (null without a valid header). Payloads
+    stay in the scan.
     """
     raw = segments(spark, path)
     head = F.locate(END, F.col("value"))
@@ -106,19 +144,11 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     payload = F.substring(F.col("value").cast("binary"), F.col("head") + 1, F.col("size").cast("int"))
     rows = rows.select(
         "file", "part", "nth", "header", "bytes", "head", "size",
-        F.when(whole, base32_sha1(payload)).alias("digest"),
+        F.when(whole, base32_sha1(payload)).alias("digest"), F.xxhash64("value").alias("mark"),
     )
-    rows = stored(rows, "candidates")
-    in_split = Window.partitionBy("file", "part").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    step = F.col("bytes") + len(MAGIC)
-    splits = rows.groupBy("file", "part").agg(F.sum(step).alias("_n"))
-    earlier = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select("file", "part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    rows = rows.withColumn("_in", F.coalesce(F.sum(step).over(in_split), F.lit(0))).join(splits, ["file", "part"])
-    at = F.col("_base") + F.col("_in") - len(MAGIC)
-    rows = rows.withColumn("at", at).withColumn("end", at + step).filter("at >= 0")
+    rows = placed(stored(rows, "candidates"))
     follow = F.col("at") + len(MAGIC) + F.col("head") + F.col("size") + len(END)
-    return stored(rows.withColumn("next", follow).drop("_base", "_in", "bytes"), "chain")
+    return stored(rows.withColumn("next", follow).drop("part", "nth", "bytes"), "chain")
 
 
 def reachable(chain: DataFrame) -> DataFrame:
@@ -160,9 +190,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     owner = F.when(F.col("_r").isNotNull(), F.col("at"))
     line = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     marked = chain.join(split_up.select("file", F.col("from").alias("at"), F.lit(1).alias("_r")), ["file", "at"], "left")
-    pieces = marked.select("file", "part", "nth", "at", F.last(owner, ignorenulls=True).over(line).alias("from"))
+    pieces = marked.select("file", "mark", "at", F.last(owner, ignorenulls=True).over(line).alias("from"))
     pieces = stored(pieces.join(split_up, ["file", "from"]).filter("at < next"), "pieces")
-    joined = segments(spark, path).join(small_side(pieces, 100_000), ["file", "part", "nth"]).groupBy("file", "from", "head", "size")
+    joined = texts_at(spark, path, pieces).join(pieces, ["file", "at"]).groupBy("file", "from", "head", "size")
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), MAGIC)
     joined = joined.agg(texts.alias("value"))
     payload = F.substring(F.col("value").cast("binary"), F.col("head") + 1, F.col("size").cast("int"))

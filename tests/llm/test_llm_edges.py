@@ -160,6 +160,32 @@ def test_warc_long_url(spark, tmp_path):
     assert got[2].refers_to == 1 and all(r.payload_digest for r in got.values())
 
 
+@pytest.mark.parametrize("marks", [100_000, 0])
+def test_warc_splits_change_between_scans(spark, tmp_path, monkeypatch, marks):
+    """Payloads with a magic are whole also if a second scan cuts the files in another way."""
+    inner = "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    rows = [(i, "u", f"{i} " + ("x" * (900 * i) + "WARC/1.1\r\n" + inner * 2) * (i % 3)) for i in range(1, 40)] + [(50, "u", "WARC/1.1\r\n")]
+    rows += [(100 + i, "u", html) for i, _, html in rows[:9]]
+    sizes, cut = iter(["100k", "30k", "70k", "50k"]), warc.segments
+
+    def segments(spark, path):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return cut(spark, path)
+
+    monkeypatch.setattr(warc, "segments", segments)
+    monkeypatch.setattr(warc, "MARKS", marks, raising=False)
+    path = str(tmp_path / "warc")
+    try:
+        warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), path)
+        got = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    import base64
+
+    want = {i: (len(html), base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()) for i, _, html in rows}
+    assert {i: (r.payload_bytes, r.payload_digest) for i, r in got.items()} == want
+
+
 def brute_groups(rows, k, percent):
     sets = {}
     for i, t in rows:
