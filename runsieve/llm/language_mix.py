@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runsieve.llm.common import ship, stored
 
 ship(__name__)
 
-#: Documents of a language that may be used, by smallest hash of the id, and languages at most, by number
-#: of documents; the only bounds of the model.
-SAMPLE_ROWS, MAX_LANGUAGES = 400, 64
+#: Documents of a language that may be used, by smallest hash of the id; the only bound of the model.
+SAMPLE_ROWS = 400
 #: Cells that hashed n-grams of 1 to 4 bytes fall into, and weight of an unseen one.
 CELLS, SMOOTH = 1 << 16, 0.5
 ROUNDS = 12
@@ -27,9 +27,14 @@ _LETTER = regex.compile(r"\p{L}")
 
 @dataclass
 class Model:
+    """Likelihoods of the cells under each language: ``base`` where it has not seen the cell, and for the
+    cells it has seen, ordered by cell from ``starts``, the language and what comes on top."""
+
     names: list[str]
-    #: Likelihood of each cell (rows) under each language (columns).
-    table: np.ndarray
+    base: np.ndarray
+    starts: np.ndarray
+    langs: np.ndarray
+    more: np.ndarray
 
 
 def ngrams(text: str) -> np.ndarray:
@@ -48,28 +53,54 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     return seen, cells[seen].astype(float)
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES) -> Model:
-    """N-gram likelihoods per value of ``lang`` from a bounded sample of labelled documents.
+def _sample(known: DataFrame, sizes: dict[str, int], rows: int) -> DataFrame:
+    """``doc_id, lang`` of the ``rows`` smallest hashes of each language.
 
-    Only the sampled ids meet the texts; a null or empty value is no label.
+    A hash bound that some more than ``rows`` documents should pass is set for each language and raised
+    until enough pass, so that only about so many rows are ordered, however large a language is.
     """
-    known = docs.filter("lang IS NOT NULL AND lang <> '' AND doc_id IS NOT NULL AND text IS NOT NULL")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    names = sorted(r["lang"] for r in sizes)
+    spark, share = known.sparkSession, {name: (rows + 8 * rows**0.5 + 32) / n for name, n in sizes.items()}
     ids = known.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(5)).alias("_o"))
-    picked = None
-    for name in names:
-        part = ids.filter(F.col("lang") == name).orderBy("_o", "doc_id").limit(sample_rows)
-        picked = part if picked is None else picked.unionAll(part)
-    table = np.full((CELLS, max(len(names), 1)), SMOOTH)
+    while True:
+        cuts = [(name, (1 << 63) - 1 if s >= 1 else int(s * 2**64) - (1 << 63)) for name, s in share.items()]
+        bound = F.broadcast(spark.createDataFrame(cuts, "lang string, _cut bigint"))
+        near = stored(ids.join(bound, "lang").filter("_o <= _cut").drop("_cut"), "near")
+        got = {r["lang"]: r["n"] for r in near.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        short = [name for name, n in sizes.items() if share[name] < 1 and got.get(name, 0) < min(n, rows)]
+        if not short:
+            break
+        share |= {name: share[name] * 4 for name in short}
+    order = Window.partitionBy("lang").orderBy("_o", "doc_id")
+    return near.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= rows).select("doc_id", "lang").distinct()
+
+
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """N-gram likelihoods per value of ``lang`` from a bounded sample of labelled documents of each.
+
+    Only the sampled ids meet the texts; a null or empty value is no label. Every language is learned;
+    the driver holds the whole counts of one at a time, and of the others the cells they have seen.
+    """
+    known = docs.filter("lang IS NOT NULL AND lang <> '' AND doc_id IS NOT NULL AND text IS NOT NULL")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    names = sorted(sizes)
+    place = {n: i for i, n in enumerate(names)}
+    base, seen, more = np.zeros(len(names)), [np.zeros(0, np.int64)] * len(names), [np.zeros(0, np.float32)] * len(names)
     if names:
-        picked = stored(picked.select("doc_id", "lang").distinct(), "sample")
+        picked = stored(_sample(known, sizes, sample_rows), "sample")
         rows = known.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "text")
-        place = {n: i for i, n in enumerate(names)}
-        for r in rows.toLocalIterator():
-            cells, n = counted(r["text"])
-            table[cells, place[r["lang"]]] += n / n.sum() * 1000
-    return Model(names, table / table.sum(axis=0))
+        for lang, texts in groupby(rows.orderBy("lang").toLocalIterator(), lambda r: r["lang"]):
+            weight = np.zeros(CELLS)
+            for r in texts:
+                cells, n = counted(r["text"])
+                weight[cells] += n / n.sum() * 1000
+            i, total = place[lang], weight.sum() + CELLS * SMOOTH
+            base[i], seen[i] = SMOOTH / total, np.flatnonzero(weight)
+            more[i] = (weight[seen[i]] / total).astype(np.float32)
+    cells = np.concatenate(seen) if names else np.zeros(0, np.int64)
+    order = np.argsort(cells, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(cells, minlength=CELLS))])
+    langs = np.repeat(np.arange(len(names), dtype=np.int32), [len(x) for x in seen])[order]
+    return Model(names, base, starts, langs, np.concatenate(more)[order] if names else np.zeros(0, np.float32))
 
 
 def mixture(p: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
@@ -93,21 +124,34 @@ def infer(model: Model, text: str | None) -> tuple[str, float, list[tuple[str, f
     if not text or not model.names or not _LETTER.search(text):
         return "und", 0.0, []
     cells, n = counted(text)
-    p, total = model.table[cells], n.sum()
-    single = n @ np.log(p)
+    total, many = n.sum(), len(model.names)
+    size = model.starts[cells + 1] - model.starts[cells]
+    row = np.repeat(np.arange(len(cells)), size)
+    entry = np.arange(len(row)) + np.repeat(model.starts[cells] - (np.cumsum(size) - size), size)
+    lang, more = model.langs[entry], model.more[entry].astype(float)
+
+    def column(i: int) -> np.ndarray:
+        p, mine = np.full(len(cells), model.base[i]), lang == i
+        p[row[mine]] += more[mine]
+        return p
+
+    single = total * np.log(model.base) + np.bincount(lang, n[row] * np.log1p(more / model.base[lang]), many)
     chosen = [int(single.argmax())]
+    p = column(chosen[0])[:, None]
     share, best = np.ones(1), float(single[chosen[0]])
     penalty = max(0.5 * np.log(total), total / 200)
     while len(chosen) < len(model.names):
-        slope = p.T @ (n / (p[:, chosen] @ share)) - total
+        w = n / (p @ share)
+        slope = model.base * w.sum() + np.bincount(lang, w[row] * more, many) - total
         slope[chosen] = -np.inf
-        more = int(slope.argmax())
-        if slope[more] <= penalty:
+        other = int(slope.argmax())
+        if slope[other] <= penalty:
             break
-        new, gain = mixture(p[:, [*chosen, more]], n)
+        wider = np.column_stack([p, column(other)])
+        new, gain = mixture(wider, n)
         if gain - best <= penalty:
             break
-        chosen, share, best = [*chosen, more], new, gain
+        chosen, p, share, best = [*chosen, other], wider, new, gain
     order = np.argsort(-share, kind="stable")
     mix = [(model.names[chosen[i]], float(share[i])) for i in order]
     return mix[0][0], min(mix[0][1], 1.0), mix

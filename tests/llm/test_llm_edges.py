@@ -306,3 +306,14 @@ def test_language_stage_without_labels(docs, spark, lang):
     rows = rows.select("doc_id", "text", F.lit(lang).cast("string").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("bigint").alias("n_chars"))
     kept = corpus_pipeline.identify(spark, rows, "")
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 4, 5, 5, 6, 50]
+
+
+def test_every_language_is_learned(docs, spark):
+    rng = random.Random(4)
+    words = {f"l{i:02d}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(8)] for i in range(70)}
+    rows = [(name, " ".join(rng.choices(w, k=30))) for name, w in words.items() for _ in range(3 if name < "l64" else 2)]
+    known = spark.createDataFrame([(i, t, name) for i, (name, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_mix.languages(known, known).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(rows)}
+    few = language_mix.fit(known, 1)
+    assert few.names == sorted(words) and set(few.langs.tolist()) == set(range(70))
