@@ -10,7 +10,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsieve.llm import compression, cover_tree, decontam, language_mix, line_dedup, mixing, ngram_join, pii, sharding, warc
+from runsieve.llm import (
+    collocations,
+    compression,
+    conversations,
+    cover_tree,
+    decontam,
+    language_mix,
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    pii,
+    sharding,
+    warc,
+)
 from runsieve.llm.common import LOWER, UPPER, read_table
 
 #: Fixed values of the contracts.
@@ -20,6 +34,7 @@ COSINE = 0.95
 JOIN_WORDS, JOIN_PERCENT = 3, 90
 LINE_DOCS = 10
 SHARDS = 24
+TOKENIZER = "word_bpe_49k.json"
 
 _LOWER = f"'{UPPER}', '{LOWER}'"
 
@@ -93,6 +108,37 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """The contract's damage; a dropped row stays as a marker so that its conversation stays known."""
+    blank = F.lit(" ")
+    kind = F.pmod(F.crc32(F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), blank), F.coalesce(F.col("turn").cast("string"), blank))), F.lit(20))
+    text = F.coalesce("text", blank)
+    harmed = rows.select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, "user").otherwise(F.coalesce("role", blank)).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        (kind == 0).alias("dropped"),
+        F.explode(F.when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+    return harmed.drop("copy")
+
+
+def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(damaged(read_table(spark, sf_dir, "conversations"))).drop("rows")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_quality": quality,
     "op2_language_mixture": language,
@@ -104,6 +150,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": common_lines,
     "op9_ngram_join": near_documents,
     "op10_two_pass_shards": shards,
+    "op11_harmonic_packing": packed,
+    "op12_phrase_collocations": phrases,
+    "op13_conversation_repair": repaired,
 }
 
 _REACH = """reach AS (
@@ -193,4 +242,87 @@ both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y O
 links AS (SELECT a, b FROM both_ JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= {JOIN_PERCENT} * (x.n + y.n - k)),
 nodes AS (SELECT doc_id AS id FROM documents), {_REACH}
 SELECT id AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN n ON id = n.doc_id GROUP BY id""",
+    "op12_phrase_collocations": rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\x0A-\x0D]')) AS s FROM documents
+), words AS (SELECT lang, list_filter(string_split_regex(s, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM words GROUP BY lang),
+f AS (
+  SELECT lang, k, list_aggregate(p, 'string_agg', ' ') AS phrase, count(*) AS f, any_value(p) AS p FROM (
+    SELECT lang, k, w[i:i + k - 1] AS p FROM (
+      SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest(range(1, {collocations.MAX_WORDS + 1})) AS k) WHERE len(w) >= k))
+  GROUP BY lang, k, phrase HAVING count(*) >= {collocations.MIN_COUNT}
+), cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, h.f AS l, t.f AS r, n, j, (1000 * c.f::HUGEINT * n) // (h.f::HUGEINT * t.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM f WHERE k > 1) c JOIN totals USING (lang)
+  JOIN f h ON h.lang = c.lang AND h.phrase = list_aggregate(c.p[1:j], 'string_agg', ' ')
+  JOIN f t ON t.lang = c.lang AND t.phrase = list_aggregate(c.p[j + 1:c.k], 'string_agg', ' ')
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_ AS (
+  SELECT lang, f, list_aggregate(p[i:i + m - 1], 'string_agg', ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM f WHERE k > 2))
+), longer AS (SELECT lang, phrase, max(f) AS most FROM inner_ GROUP BY lang, phrase),
+ranked AS (
+  SELECT best.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM best LEFT JOIN longer USING (lang, phrase) WHERE coalesce(100 * most < {collocations.SUBSUMED_PERCENT} * a, true)
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= {collocations.TOP}""",
+    "op13_conversation_repair": r"""
+WITH RECURSIVE crc AS (
+  SELECT c AS first, list_reduce(range(0, 8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, c) AS code
+  FROM (SELECT unnest(range(0, 256)) AS c)
+), table_ AS (SELECT list(code ORDER BY first) AS codes FROM crc),
+keyed AS (
+  SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), marked AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_transform(string_split(k, ''), lambda ch: ascii(ch)::BIGINT),
+      lambda x, b: xor(x >> 8, codes[(xor(x, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 20 AS kind
+  FROM keyed, table_
+), harmed AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(0, CASE WHEN kind = 3 THEN 2 ELSE 1 END))
+  FROM marked WHERE kind <> 0
+), placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM harmed),
+judged AS (
+  SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, substr(role, 1, 1) AS initial,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair
+  FROM placed
+), r AS (
+  SELECT *, CASE WHEN bare = '' THEN 'b' WHEN again THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM judged
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+    count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS m
+  FROM r GROUP BY conv_id
+), places(q, next, role, edits) AS (
+  -- 0 nothing yet, 1 after a system row, 2 after user, 3 after assistant; up to two inserted rows before the next edit.
+  VALUES (0, 2, 'user', ''), (1, 2, 'user', ''), (2, 3, 'assistant', ''), (3, 2, 'user', '')
+), jumps AS (
+  SELECT q AS p, q, 0 AS cost, '' AS edits, '' AS added FROM places
+  UNION ALL SELECT q, next, 3, 'I', chr(10) || role || ':' FROM places
+  UNION ALL SELECT x.q, y.next, 6, 'II', chr(10) || x.role || ':' || chr(10) || y.role || ':' FROM places x JOIN places y ON x.next = y.q
+), search AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, {'cost': 0, 'audit': '', 'said': ''} AS best FROM counts
+  UNION ALL
+  SELECT conv_id, i + 1, q, min({'cost': cost, 'audit': audit, 'said': said}) FROM (
+    SELECT s.conv_id, s.i, CASE e WHEN 'D' THEN j.q WHEN 'R' THEN p.next ELSE CASE r.initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS q,
+      s.best.cost + j.cost + CASE e WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN e <> 'D' AND fault = 't' THEN 3 ELSE 0 END AS cost,
+      s.best.audit || j.edits || e AS audit,
+      s.best.said || j.added || CASE e WHEN 'D' THEN '' WHEN 'R' THEN chr(10) || p.role || ':' || r.text ELSE chr(10) || r.role || ':' || r.text END AS said
+    FROM search s JOIN jumps j ON s.q = j.p JOIN places p ON p.q = j.q JOIN r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i + 1
+      CROSS JOIN (SELECT unnest(['D', 'K', 'R']) AS e)
+    WHERE e = 'D' OR (fault NOT IN ('b', 'd') AND (e = 'R' OR (j.q = 0 AND initial IN ('s', 'u')) OR (j.q IN (1, 3) AND initial = 'u') OR (j.q = 2 AND initial = 'a')))
+  ) GROUP BY conv_id, i, q
+), ends AS (
+  SELECT s.conv_id, min({'cost': s.best.cost + j.cost, 'audit': s.best.audit || j.edits, 'said': s.best.said || j.added}) AS best
+  FROM search s JOIN jumps j ON s.q = j.p JOIN counts c ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.m = s.i WHERE j.q IN (0, 3) GROUP BY s.conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+  coalesce(best.audit, '') AS audit, sha256(substr(coalesce(best.said, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id""",
 }
