@@ -9,9 +9,9 @@ from runsieve.functions.arrays import let
 
 # The base patterns of the contract, written without backtracking into groups
 # (nothing that follows a group could match what it gives back), so that long digit or label runs
-# need no stack.
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
+# need no stack. A run is tried once: from its start, or from the end of a match inside it.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # The added kind: an international bank account number, compact or in groups of four.
@@ -25,9 +25,13 @@ KINDS: tuple[tuple[str, str, str, str], ...] = (
     ("phone", PHONE, r"\+[0-9]", "phone|call|tel|mobile|fax|ruf|appel|llam"),
     ("iban", IBAN, r"[A-Z]{2}[0-9]{2}", "iban|bank|account|konto|compte|cuenta|transfer"),
 )
+#: Letters and digits of the shortest account number.
+IBAN_LENGTH = 15
 BASE_KINDS = ("email", "ip", "card", "phone")
-#: Code points on each side of a span that count as its context.
+#: Code points on each side of a span that count as its context, up to the next span of its kind.
 CONTEXT = 40
+#: Matches whose places are added up together; the sums of these blocks are added up in turn.
+BLOCK = 256
 #: Score of a span by its pattern alone, gain of a passed checksum, gain of a context word.
 PATTERN_SCORE, CHECKSUM_GAIN, CONTEXT_GAIN = 0.5, 0.3, 0.2
 
@@ -72,41 +76,62 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _running(values: Column) -> Column:
+    """Sums of all earlier values, and at the end of all."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("got"))
+    done = F.aggregate(
+        values, zero, lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["got"], F.array(acc["at"])).alias("got"))
+    )
+    return let(done, lambda d: F.concat(d["got"], F.array(d["at"])))
+
+
+def _starts(lengths: Column) -> Column:
+    """The running sums of an array, in two levels, so that work grows little faster than its length."""
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: _running(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))
+    )
+
+    return let(blocks, lambda parts: let(_running(F.transform(parts, lambda p: F.element_at(p, -1))), lambda firsts: F.flatten(
+        F.transform(parts, lambda p, i: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x: x + F.get(firsts, i)))
+    )))
+
+
+def _confirmed(kind: str, match: Column) -> Column:
+    """The match if its check passes; of an account number also the match without its last group or two, which may
+    be other words."""
+    if kind != "iban":
+        return F.when(_valid(kind, match), match)
+    shorter = F.regexp_replace(match, r"\x20[A-Z0-9]+$", "")
+    least = F.regexp_replace(shorter, r"\x20[A-Z0-9]+$", "")
+    tries = [F.when(_valid(kind, m) & (F.length(F.regexp_replace(m, " ", "")) >= IBAN_LENGTH), m) for m in (match, shorter, least)]
+    return F.coalesce(*tries)
+
+
 def _matches(text: Column, kind: str, pattern: str, words: str) -> Column:
     """All confirmed spans of one kind.
 
     The matches and the pieces between them come from the same leftmost scan, so the start of a match is
     the length of all pieces up to it plus that of all matches before it.
     """
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,text:string>>").alias("got"))
-
-    def place(found: Column, pieces: Column) -> Column:
-        def step(acc: Column, pair: Column) -> Column:
-            start = acc["at"] + F.length(pair["p"])
-            return F.struct(
-                (start + F.coalesce(F.length(pair["m"]), F.lit(0))).alias("at"),
-                F.when(pair["m"].isNull(), acc["got"])
-                .otherwise(F.concat(acc["got"], F.array(F.struct(start.alias("start"), pair["m"].alias("text")))))
-                .alias("got"),
-            )
-
-        return F.aggregate(F.arrays_zip(pieces.alias("p"), found.alias("m")), zero, step)["got"]
-
-    def span(m: Column) -> Column:
-        start, length = m["start"], F.length(m["text"])
-        left = F.greatest(start - CONTEXT, F.lit(0))
-        near = F.substring(text, left.cast("int") + 1, (start - left + length + CONTEXT).cast("int"))
+
+    def spans(pieces: Column, found: Column) -> Column:
+        steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.length(p).cast("bigint") + F.length(m))
+        return let(F.when(F.size(found) > 0, _starts(steps)), lambda starts: F.filter(F.transform(found, lambda m, i: span(pieces, starts, m, i)), lambda s: s["text"].isNotNull()))
+
+    def span(pieces: Column, starts: Column, match: Column, i: Column) -> Column:
+        before, after = F.get(pieces, i), F.get(pieces, i + 1)
+        start = F.get(starts, i) + F.length(before)
+        near = F.concat(F.right(before, F.lit(CONTEXT)), match, F.left(after, F.lit(CONTEXT)))
         score = (
             F.lit(PATTERN_SCORE + (CHECKSUM_GAIN if kind in ("card", "iban") else 0.0))
             + F.when(F.lower(near).rlike(rf"\b(?:{words})"), CONTEXT_GAIN).otherwise(0.0)
         )
-        return F.struct(
-            F.lit(kind).alias("kind"), start.alias("start"), (start + length).alias("end"), m["text"].alias("text"),
+        return let(_confirmed(kind, match), lambda good: F.struct(
+            F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(good)).alias("end"), good.alias("text"),
             F.lit(kind in ("card", "iban")).alias("checked"), score.alias("score"),
-        )
+        ))
 
-    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: place(m, F.split(text, pattern, -1)))
-    return F.transform(F.filter(found, lambda m: _valid(kind, m["text"])), span)
+    return let(F.split(text, pattern, -1), lambda p: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: spans(p, m)))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
