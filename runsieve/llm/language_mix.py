@@ -8,6 +8,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -187,22 +188,24 @@ def languages(docs: DataFrame, known: DataFrame, sample_rows: int = SAMPLE_ROWS)
 
 
 def identified(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """``docs`` without the documents whose language is undetermined; all columns and repeats stay.
+    """``docs`` with the first language of the inferred mixture as ``lang``, without the documents whose
+    language is undetermined; all other columns and repeats stay.
 
-    The rejected rows are told by their text alone, so they are dropped in the pass that predicts them.
-    Without a labelled document (``lang`` null or empty everywhere) the model has no languages; then only
-    texts that are null or have no letter are rejected.
+    Rows are judged by their text alone, in the pass that predicts them. Without a labelled document
+    (``lang`` null or empty everywhere) the model has no languages; then only texts that are null or have
+    no letter are rejected and ``lang`` stays as it is.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs if known is None else known))
 
-    def determined(text: str | None) -> bool:
-        if not model.value.names:
-            return bool(text and _LETTER.search(text))
-        return infer(model.value, text)[0] != "und"
-
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array([determined(t.as_py()) for t in texts], pa.bool_()))
+            at, lang = batch.schema.get_field_index("text"), batch.schema.get_field_index("lang")
+            texts = (t.as_py() for t in batch.column(at))
+            if not model.value.names:
+                yield batch.filter(pa.array([bool(t and _LETTER.search(t)) for t in texts], pa.bool_()))
+                continue
+            found = pa.array([infer(model.value, t)[0] for t in texts], pa.string())
+            named = batch.set_column(lang, batch.schema.field(lang), found.cast(batch.schema.field(lang).type))
+            yield named.filter(pc.not_equal(found, "und"))
 
     return docs.mapInArrow(keep, docs.schema)
