@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runsieve.catalog import views as V
 from runsieve.catalog import lifecycle as _lifecycle  # noqa: F401 - registers results_dedup
@@ -13,7 +15,9 @@ from runsieve.functions.numbers import round_exact
 from runsieve.operators.aggregate import latest_results
 from runsieve.schemas import GOLDEN
 from runsieve.session import fresh_dir
+from runsieve.sources.sinks import read_log
 from runsieve.streaming import lifecycle as S
+from runsieve.streaming import runs as R
 from runsieve.streaming.io import drain, file_stream, table_glob
 
 RUN = "eval_run_id"
@@ -64,22 +68,64 @@ def stream_run_progress(spark, sf):
 
 
 _YEAR = 365 * 86400
+#: Time of the sweep over the given tables.
+_SWEEP = "1998-06-01 00:00:00"
 
 
 @query(
     "stream_run_timeouts",
     f"""SELECT CAST(o_orderkey AS VARCHAR) AS eval_run_id, strftime(o_orderdate, '%Y-%m-%d') AS created_on FROM orders
-        WHERE o_orderdate + INTERVAL '{_YEAR} seconds' < (SELECT least((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem)))
+        WHERE o_orderdate + INTERVAL '{_YEAR} seconds' < TIMESTAMP '{_SWEEP}'
           AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL '{_YEAR} seconds')""",
 )
 def stream_run_timeouts(spark, sf):
     started = _stream(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias(RUN), F.col("o_orderdate").alias("created_at"))
     finished = _stream(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias(RUN), F.col("l_shipdate").alias("finished_at"))
     starts, ends = drain(started, "starts", S.started_runs), drain(finished, "ends", S.finished_runs)
-    late = S.run_timeouts(starts.drop("batch_id"), ends.drop("batch_id"), _YEAR)
+    late = S.run_timeouts(starts.drop("batch_id"), ends.drop("batch_id"), _YEAR, F.lit(_SWEEP).cast("timestamp"))
     return late.select(RUN, F.date_format("created_at", "yyyy-MM-dd").alias("created_on"))
 
 
+_CLOCK = "2010-01-01 00:00:00"
+
+
+@query(
+    "stream_run_outcomes",
+    f"""WITH firsts AS (SELECT o_custkey, min(o_orderdate) + INTERVAL '{2 * _YEAR} seconds' AS due FROM orders GROUP BY 1),
+             counted AS (
+               SELECT o_custkey, count(*) FILTER (WHERE o_orderdate <= due) AS shards,
+                      CAST(coalesce(sum(day(o_orderdate)) FILTER (WHERE o_orderdate <= due), 0) AS BIGINT) AS cases
+               FROM orders JOIN firsts USING (o_custkey) GROUP BY 1)
+        SELECT CAST(o_custkey AS VARCHAR) AS eval_run_id, CASE WHEN o_custkey % 3 = 0 THEN 'timeout' ELSE 'complete' END AS outcome,
+               CAST(NULL AS VARCHAR) AS shard_id, shards AS completed_shards, cases AS completed_cases FROM counted
+        UNION ALL
+        SELECT CAST(o_custkey AS VARCHAR), 'late', CAST(o_orderkey AS VARCHAR), NULL, NULL
+        FROM orders JOIN firsts USING (o_custkey) WHERE o_orderdate > due""",
+)
+def stream_run_outcomes(spark, sf):
+    """Customers as runs, their orders as shards, each delivered twice; every third run misses a shard."""
+    orders = V.table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("at"))
+    due = F.min("at").over(Window.partitionBy("o_custkey")) + F.expr(f"INTERVAL {2 * _YEAR} SECONDS")
+    sized = orders.withColumn("in_time", F.col("at") <= due).groupBy("o_custkey").agg(F.min("at").alias("at"), F.count_if("in_time").alias("n"))
+    total = F.col("n") + (F.col("o_custkey") % 3 == 0).cast("int")
+    root = fresh_dir(spark, "outcomes")
+    starts = R.start_events(sized, F.col("o_custkey"), F.col("at"), total)
+    shards = R.shard_events(orders, F.col("o_custkey"), F.col("o_orderkey"), F.dayofmonth("at"), F.col("at"))
+    shards.unionAll(starts).unionAll(shards).write.parquet(f"{root}/events")
+    _track(spark, root)
+    # The sweep comes when all has arrived: the stream goes on where it stopped.
+    R.clock_events(spark.range(1), F.lit(_CLOCK).cast("timestamp")).write.mode("append").parquet(f"{root}/events")
+    _track(spark, root)
+    told = read_log(spark, f"{root}/log", T.StructType.fromDDL(R.OUTCOME))
+    own = F.col("outcome") != "late"
+    return told.select(RUN, "outcome", "shard_id", *[F.when(own, F.col(c)).alias(c) for c in ("completed_shards", "completed_cases")])
+
+
+def _track(spark, root):
+    events = file_stream(spark, f"{root}/events", T.StructType.fromDDL(R.EVENT), max_files=4)
+    R.start_tracking(R.track_runs(events, 2 * _YEAR, by_event_time=True), root, availableNow=True).awaitTermination()
+
+
 @query(
     "late_results",
     """SELECT e.event_id, coalesce(e.ts > g.gated_at, false) AS late,

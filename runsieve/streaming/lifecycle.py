@@ -57,19 +57,15 @@ def finished_runs(finishes: DataFrame) -> DataFrame:
     return finishes.select(RUN, "finished_at").distinct()
 
 
-def run_timeouts(starts: DataFrame, finishes: DataFrame, timeout_seconds: int) -> DataFrame:
-    """Runs whose completion did not arrive within the limit, in event time, from the two logs.
+def run_timeouts(starts: DataFrame, finishes: DataFrame, timeout_seconds: int, as_of: Column) -> DataFrame:
+    """Runs without a completion within the limit at the time ``as_of`` of the sweep, from the two logs.
 
-    A run is reported once both logs have come past created_at + limit: before that its completion may
-    still arrive.
+    The clock decides, not the arrival of completions: with none at all, every run older than the limit is due.
     """
     limit = F.expr(f"INTERVAL {int(timeout_seconds)} SECONDS")
-    newest = [starts.agg(F.max("created_at")).first()[0], finishes.agg(F.max("finished_at")).first()[0]]
-    if None in newest:
-        return starts.limit(0)
     f = finishes.select(F.col(RUN).alias("_run"), "finished_at").distinct()
     in_time = (F.col(RUN) == F.col("_run")) & (F.col("finished_at") >= F.col("created_at")) & (F.col("finished_at") <= F.col("created_at") + limit)
-    due = starts.distinct().filter(F.col("created_at") + limit < F.lit(min(newest)))
+    due = starts.distinct().filter(F.col("created_at") + limit < as_of)
     return due.join(f, in_time, "left_anti")
 
 

@@ -1,12 +1,18 @@
 from __future__ import annotations
 
+import time
+from datetime import datetime
+
 import pytest
 from oracle import compare, duck
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from runsieve.catalog import all_oracles, all_queries
 from runsieve.session import fresh_dir
+from runsieve.sources.sinks import read_log
 from runsieve.streaming import lifecycle as S
+from runsieve.streaming import runs as R
 from runsieve.streaming.io import drain, file_stream
 
 
@@ -47,8 +53,62 @@ def test_timeouts_by_event_time(spark):
     ends = [("done", "2024-01-01 00:10:00"), ("slow", "2024-01-01 02:00:00"), ("x", "2024-01-01 03:00:00")] + [("done", "2024-01-01 00:10:00")] * 50
     started = _ts(_files(spark, "starts", "eval_run_id string, created_at string", starts), "created_at")
     finished = _ts(_files(spark, "ends", "eval_run_id string, finished_at string", ends), "finished_at")
-    log = S.run_timeouts(drain(started, "s", S.started_runs), drain(finished, "f", S.finished_runs), 1800)
-    assert sorted(r["eval_run_id"] for r in log.collect()) == ["late", "slow"]
+    as_of = F.lit("2024-01-01 03:00:00").cast("timestamp")
+    log = drain(started, "s", S.started_runs)
+    due = S.run_timeouts(log, drain(finished, "f", S.finished_runs), 1800, as_of)
+    assert sorted(r["eval_run_id"] for r in due.collect()) == ["late", "slow"]
+    # A fleet that reports nothing is what the sweep is for.
+    none = spark.createDataFrame([], "eval_run_id string, finished_at timestamp")
+    assert sorted(r["eval_run_id"] for r in S.run_timeouts(log, none, 1800, as_of).collect()) == ["done", "late", "slow"]
+
+
+def _outcomes(spark, batches, root):
+    """Each batch is a further file and a restart of the stream from its checkpoint."""
+    for rows in batches:
+        spark.createDataFrame(rows, R.EVENT).coalesce(1).write.mode("append").parquet(f"{root}/events")
+        events = file_stream(spark, f"{root}/events", StructType.fromDDL(R.EVENT), max_files=1)
+        R.start_tracking(R.track_runs(events, 1800, by_event_time=True), root, availableNow=True).awaitTermination(60)
+    return _told(spark, root)
+
+
+def _told(spark, root):
+    log = read_log(spark, f"{root}/log", StructType.fromDDL(R.OUTCOME))
+    return sorted((r["eval_run_id"], r["outcome"], r["shard_id"] or "") for r in log.collect())
+
+
+def test_runs_complete_once_or_time_out(spark):
+    def at(minute):
+        return datetime(2024, 1, 1, minute // 60, minute % 60)
+
+    def start(run, total, minute=0):
+        return ("start", run, at(minute), total, None, None, None, None)
+
+    def shard(run, shard_id, minute):
+        return ("shard", run, None, None, shard_id, 8, at(minute), None)
+
+    rows = [
+        start("whole", 2), shard("whole", "0", 5), shard("whole", "1", 6), shard("whole", "0", 5),
+        start("dead", 3), start("part", 2), shard("part", "0", 5), shard("part", "1", 45), start("young", 1, 170),
+        shard("before", "0", 3), shard("before", "0", 3), start("before", 1),
+    ]
+    clock, after = ("clock", None, None, None, None, None, None, at(180)), [shard("dead", "2", 7), shard("whole", "1", 6), start("whole", 2)]
+    want = [
+        ("before", "complete", ""), ("dead", "late", "2"), ("dead", "timeout", ""), ("part", "late", "1"), ("part", "timeout", ""), ("whole", "complete", ""),
+    ]
+    assert _outcomes(spark, [rows, [clock], after], fresh_dir(spark, "once")) == want
+    assert _outcomes(spark, [rows[5:], rows[:5], rows[3:], [clock], after, after], fresh_dir(spark, "many")) == want
+
+
+def test_runs_time_out_by_the_clock_of_the_cluster(spark):
+    """Nothing arrives after the starts; only the clock goes on."""
+    root, rows = fresh_dir(spark, "wall"), [("start", run, datetime(year, 1, 1), 1, None, None, None, None) for run, year in (("dead", 2024), ("young", 2099))]
+    spark.createDataFrame(rows, R.EVENT).coalesce(1).write.parquet(f"{root}/events")
+    query = R.start_tracking(R.track_runs(file_stream(spark, f"{root}/events", StructType.fromDDL(R.EVENT)), 1800), root, processingTime="1 second")
+    until = time.time() + 60
+    while not _told(spark, root) and time.time() < until:
+        time.sleep(1)
+    query.stop()
+    assert _told(spark, root) == [("dead", "timeout", "")]
 
 
 def test_late_results_policy(spark):
@@ -70,7 +130,7 @@ def test_tumbling_means_across_batches(spark):
     assert [(r["n"], r["mean"]) for r in means] == [(7, 0.85), (1, 1.0)]
 
 
-STREAMS = ["stream_dedup_jobs", "stream_run_progress", "stream_run_timeouts", "late_results", "metric_tumbling_avg"]
+STREAMS = ["stream_dedup_jobs", "stream_run_progress", "stream_run_timeouts", "stream_run_outcomes", "late_results", "metric_tumbling_avg"]
 
 
 @pytest.mark.parametrize("max_files", [1, 1000])
