@@ -102,7 +102,7 @@ def snk_shard_layout(spark, sf):
               substr('r' || l_orderkey || '-shard-' || lpad(CAST(l_linenumber AS VARCHAR), 4, '0'), 1, 128) AS dedup_id,
               'r' || l_orderkey || '-shard-' || lpad(CAST(l_linenumber AS VARCHAR), 4, '0') || '-result' AS result_dedup_id,
               'runs/r' || l_orderkey || '/results/shard-' || lpad(CAST(l_linenumber AS VARCHAR), 4, '0') || '.json' AS result_key,
-              'eval-' || strftime(l_shipdate, '%Y%m%dT%H%M%SZ') || '-' || substr(sha256(l_orderkey || '|' || l_linenumber), 1, 8) AS run_id
+              'eval-' || strftime(l_shipdate, '%Y%m%dT%H%M%SZ') || '-' || substr(sha256(length(l_orderkey::VARCHAR) || ':' || l_orderkey || ';' || length(l_linenumber::VARCHAR) || ':' || l_linenumber || ';'), 1, 8) AS run_id
        FROM lineitem""",
 )
 def shard_ids(spark, sf):

@@ -51,10 +51,17 @@ def result_dedup_id(run: Column, shard_id: Column) -> Column:
     return F.concat(dedup_id(run, shard_id), F.lit("-result"))
 
 
+def marked(value: Column) -> Column:
+    """A value as text that no neighbour can be taken for part of."""
+    text = value.cast("string")
+    return F.when(text.isNull(), "-;").otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text, F.lit(";")))
+
+
 def run_id(started: Column, *inputs: Column) -> Column:
-    """``eval-<UTC stamp>-<8 hex>``; the suffix is a hash of the inputs, not random."""
+    """``eval-<UTC stamp>-<8 hex>``; the suffix is a hash of the inputs, not random. Each input counts with its
+    length, and a missing one differs from an empty one."""
     stamp = F.date_format(started, "yyyyMMdd'T'HHmmss'Z'")
-    return F.concat(F.lit("eval-"), stamp, F.lit("-"), F.substring(F.sha2(F.concat_ws("|", *inputs), 256), 1, 8))
+    return F.concat(F.lit("eval-"), stamp, F.lit("-"), F.substring(F.sha2(F.concat(*[marked(c) for c in inputs]), 256), 1, 8))
 
 
 def run_paths(run: Column, shard_id: Column) -> dict[str, Column]:

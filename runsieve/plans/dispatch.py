@@ -47,7 +47,8 @@ def dispatch_runs(
     ``events`` has JSON in ``event``; ``manifests`` are known data-set manifests; ``cases`` are rows of
     ``case_rows`` whose dataset_id is the uri of the set, all of them listed in ``datasets``. A trigger
     without a data set, with an unknown mode or backend, or on a set that is missing or breaks a rule is
-    rejected whole, with its reason. A trigger that is delivered again is one run. Positions come from the
+    rejected whole, with its reason. A trigger that is delivered again is one run; different triggers with one
+    run id are rejected, so run, case and job ids are unique. Positions come from the
     sets, so nothing is sorted; cases meet their runs by an equi-join on the set.
     """
     conf = conf or {}
@@ -67,8 +68,14 @@ def dispatch_runs(
         F.when(F.col("_read").isNull(), F.lit("the data set was not found")),
         F.when(F.size("violations") > 0, F.concat(F.lit("invalid data set: "), F.array_join("violations", ", "))),
     )
-    made = ops.run_id(started, F.col("dataset_uri"), F.col("git_sha"), F.col("eval_mode"), F.col("eval_backend"))
+    told_apart = ("dataset_uri", "manifest_id", *SETTINGS, "repo", "git_sha", "pr_number", "check_run_id")
+    made = ops.run_id(started, *[F.col(c) for c in told_apart])
     whole = whole.withColumn("reason", reason).withColumn(RUN, F.coalesce(or_str(F.col(RUN)), made))
+    # One id is one run: triggers that differ and still have one id, stated or by hash, are all refused.
+    several = whole.filter("reason IS NULL").groupBy(RUN).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(RUN).alias("_run"), F.lit(True).alias("_shared"))
+    whole = whole.join(several, F.col(RUN) == F.col("_run"), "left").drop("_run")
+    clash = F.when(F.col("_shared"), F.lit("other triggers have the same run id"))
+    whole = whole.withColumn("reason", F.coalesce("reason", clash)).drop("_shared")
     whole = whole.withColumn("manifest_id", F.coalesce("manifest_id", "dataset_name"))
     good = whole.filter("reason IS NULL")
     runs = good.select(

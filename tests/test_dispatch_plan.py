@@ -54,6 +54,24 @@ def test_triggers_to_runs_jobs_and_rejections(spark):
     assert back["r1"]["thresholds"]["overall"] == 0.85 and back["r1"]["source"]["git_sha"] == "s1" and back["r2"]["eval_backend"] == "deepeval"
 
 
+def test_run_ids_tell_triggers_apart(spark):
+    docs = spark.createDataFrame([("s3://b/good", _set(19))], "uri string, body string")
+    base = {"dataset_bucket": "b", "dataset_key": "good"}
+    events = [
+        {**base, "candidate_model_id": "A"}, {**base, "candidate_model_id": "B"}, {**base, "candidate_model_id": "B"},
+        {**base, "git_sha": "s"}, {**base, "repo": "s"}, {**base, "eval_run_id": "one", "pr_number": 1}, {**base, "eval_run_id": "one", "pr_number": 2},
+    ]
+    out = dispatch_runs(
+        spark.createDataFrame([(json.dumps(e),) for e in events], "event string"), spark.createDataFrame([], "dataset_id string, s3_uri string"),
+        docs.select(F.col("uri").alias("dataset_id")), case_rows(parse_golden(docs, "body"), F.col("uri")), F.lit("2024-01-01 00:00:00").cast("timestamp"),
+    )
+    runs = [r["eval_run_id"] for r in out["runs"].collect()]
+    assert len(runs) == len(set(runs)) == 4 and "one" not in runs
+    jobs = out["jobs"].groupBy("eval_run_id").agg(F.count("*").alias("n"), F.sum(F.size("case_ids")).alias("c")).collect()
+    assert all((r["n"], r["c"]) == (3, 19) for r in jobs) and out["cases"].count() == 4 * 19
+    assert [(r["eval_run_id"], r["reason"]) for r in out["rejected"].collect()] == [("one", "other triggers have the same run id")] * 2
+
+
 def test_cases_of_one_set_spread_over_tasks(spark):
     docs = spark.createDataFrame([("s3://b/big", _set(4000))], "uri string, body string").coalesce(1)
     cases = case_rows(parse_golden(docs, "body"), F.col("uri"))
