@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,25 +16,33 @@ def gate(df: DataFrame) -> DataFrame:
 
     Needs overall_score, error_rate (unrounded), completed_cases, total_cases,
     timed_out and a ``thresholds`` struct. Only the timeout, missing results, the
-    error rate and the overall score can fail a run.
+    error rate and the overall score can fail a run. What is unknown (NULL or NaN) fails as well: no run
+    passes on a number that is not there.
     """
-    t, done = F.col("thresholds"), F.col("completed_cases")
+    t, done = F.col("thresholds"), F.coalesce(F.col("completed_cases"), F.lit(0))
+    timeout = F.coalesce(F.col("timed_out"), F.lit(False))
+
+    def unknown(*values: Column) -> Column:
+        return functools.reduce(lambda a, b: a | b, [v.isNull() | F.isnan(v) for v in values])
+
     failures = F.array_compact(
         F.array(
             F.when(
-                F.col("timed_out"),
+                timeout,
                 F.concat(
-                    F.lit("timed out with "), done.cast("string"), F.lit(" of "), F.col("total_cases").cast("string"), F.lit(" cases done")
+                    F.lit("timed out with "), done.cast("string"), F.lit(" of "),
+                    F.coalesce(F.col("total_cases").cast("string"), F.lit("unknown")), F.lit(" cases done"),
                 ),
             ),
+            F.when(F.col("timed_out").isNull(), F.lit("unknown whether it timed out")),
             F.when(done == 0, F.lit("no case has a result")),
-            F.when(
+            F.when(unknown(F.col("error_rate"), t["max_error_rate"]), F.lit("error rate is unknown")).when(
                 F.col("error_rate") > t["max_error_rate"],
                 F.concat(
                     F.lit("error rate "), percent("error_rate", 2), F.lit(" is above "), percent("thresholds.max_error_rate", 2)
                 ),
             ),
-            F.when(
+            F.when(unknown(F.col("overall_score"), t["overall"]), F.lit("overall score is unknown")).when(
                 F.col("overall_score") < t["overall"],
                 F.concat(F.lit("overall score "), fixed("overall_score", 3), F.lit(" is below "), fixed("thresholds.overall", 3)),
             ),
@@ -42,7 +52,7 @@ def gate(df: DataFrame) -> DataFrame:
     return (
         df.withColumn("failures", failures)
         .withColumn("gate_passed", ~failed)
-        .withColumn("status", F.when(F.col("timed_out") & (done == 0), "timeout").when(failed, "fail").otherwise("pass"))
+        .withColumn("status", F.when(timeout & (done == 0), "timeout").when(failed, "fail").otherwise("pass"))
     )
 
 
