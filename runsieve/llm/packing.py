@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import os
+import string
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +27,14 @@ FILL = 0.98
 #: Bytes of text that are split and encoded together.
 BLOCK_BYTES = 4 << 20
 #: Distinct words whose ids a task remembers.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 #: Rows of an Arrow batch of pieces.
 BATCH_PIECES = 2_000
+_LINE_WORDS = 2_000
 
 _BREAKS = byte_class(BLANKS)
+_ALPHANUMERIC = byte_class(string.ascii_letters + string.digits)
+_MARKS = byte_class(".,;:!?")
 _PIECE = "doc_id {id}, start bigint, length bigint, ids binary, doc_tokens bigint, part int, size_class int, place bigint, before bigint"
 
 
@@ -49,40 +56,102 @@ def piece_lengths(tokens: int, capacity: int = CAPACITY, fill: float = FILL) ->
     return lengths
 
 
+def parts_words(model: str) -> bool:
+    """Whether a tokenizer lower-cases and takes runs of letters, single digits and runs of other characters
+    apart, dropping white space: then words can be encoded one by one."""
+    told = json.loads(model)
+    normal = json.dumps(told.get("normalizer") or {})
+    before = json.dumps(told.get("pre_tokenizer") or {})
+    return "Lowercase" in normal and r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in before and '"Removed"' in before and not told.get("post_processor")
+
+
 class WordIds:
-    """Ids of whole texts. White space of ASCII always parts tokens here, so each distinct run between is
-    encoded once and remembered, up to ``MEMO_WORDS`` runs."""
+    """Ids of whole texts.
+
+    Where the tokenizer parts words (``parts_words``), a text is split at ASCII white space and before a
+    punctuation mark that follows an ASCII letter or digit, two places that always part tokens; each distinct
+    word is encoded once and remembered, up to ``MEMO_WORDS`` words. Other tokenizers get whole texts.
+    """
 
     def __init__(self, model: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(model)
-        self.memo: dict[bytes, np.ndarray] = {}
-
-    def _look_up(self, words: list[bytes]) -> list[np.ndarray]:
-        memo = self.memo
-        new = [w for w in words if w not in memo]
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
+        self.tokenizer, self.by_word = Tokenizer.from_str(model), parts_words(model)
+        self.suffix = json.loads(model)["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab() if self.by_word and self.suffix else {}
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(self.suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.sizes, self.flat = np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        sizes, flat = [], []
+        for lo in range(0, len(texts), 10_000):
+            got = self.tokenizer.encode_batch_fast([t.decode() for t in texts[lo : lo + 10_000]], add_special_tokens=False)
+            ids = [e.ids for e in got]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32))
+        return np.concatenate(sizes), np.concatenate(flat)
+
+    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [w.decode() for w in words]
+        # One run of lower-case Latin letters that no normalisation changes, so one word for the tokenizer as well.
+        plain = np.fromiter((bool(self.suffix) and t.isalpha() and max(t) < "\u0180" and t == t.lower() for t in texts), bool, len(texts))
+        sizes, parts = np.zeros(len(words), np.int64), []
+        for lo in range(0, len(at := np.flatnonzero(plain)), _LINE_WORDS):
+            some = at[lo : lo + _LINE_WORDS]
+            line = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in some])], add_special_tokens=False)[0]
+            ids = np.array(line.ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                plain[some] = False
+                continue
+            sizes[some] = np.diff(ends, prepend=0)
+            parts.append(ids)
+        order = [np.flatnonzero(plain), np.flatnonzero(~plain)]
+        if len(order[1]):
+            sizes[order[1]], flat = self._encode([words[i] for i in order[1]])
+            parts.append(flat)
+        # Ids lie plain words first; put them back in the order of the words.
+        order, flat = np.concatenate(order), np.concatenate(parts)
+        n = sizes[order]
+        firsts = np.empty(len(words), np.int64)
+        firsts[order] = np.cumsum(n) - n
+        return sizes, flat[np.repeat(firsts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))]
+
+    def _look_up(self, words: list[bytes]) -> np.ndarray:
+        new = [w for w in words if w not in self.number]
+        if len(self.number) + len(new) > MEMO_WORDS:
+            self._forget()
             new = words
-        for lo in range(0, len(new), 10_000):
-            part = new[lo : lo + 10_000]
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            memo.update((w, np.array(e.ids, np.uint32)) for w, e in zip(part, got))
-        return [memo[w] for w in words]
+        if new:
+            sizes, flat = self._encode_words(new)
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            self.sizes, self.flat = np.concatenate((self.sizes, sizes)), np.concatenate((self.flat, flat))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
     def block(self, texts: list[bytes]) -> list[np.ndarray]:
+        if not self.by_word:
+            sizes, flat = self._encode(texts)
+            return np.split(flat, np.cumsum(sizes)[:-1])
+        # Special tokens are told by case, so a text that may hold one keeps its own.
+        texts = [t if b"<|" in t else t.lower() for t in texts]
         raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        starts, ends, letters = runs(raw, _BREAKS)
+        cut = np.zeros(len(raw), bool)
+        cut[1:] = _MARKS[raw[1:]] & _ALPHANUMERIC[raw[:-1]]
+        starts, ends, letters = runs(raw, _BREAKS, cut)
         if not len(starts):
             return [np.empty(0, np.uint32)] * len(texts)
         index, words = encoded(letters, ends - starts)
-        ids = self._look_up(words.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        firsts, flat = np.cumsum(sizes) - sizes, np.concatenate(ids)
-        n = sizes[index]
+        number = self._look_up(words.to_pylist())[index]
+        n = self.sizes[number]
         done = np.cumsum(n)
-        out = flat[np.repeat(firsts[index] - (done - n), n) + np.arange(done[-1])]
+        firsts = np.cumsum(self.sizes) - self.sizes
+        out = self.flat[np.repeat(firsts[number] - (done - n), n) + np.arange(done[-1])]
         limits = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
         return np.split(out, np.concatenate(([0], done))[limits[:-1]])
 
@@ -94,7 +163,8 @@ class WordIds:
             data = (text or "").encode()
             if len(data) > BLOCK_BYTES:
                 yield from self.block(block) if block else []
-                yield np.concatenate([self.block([s])[0] for s in slices(data, _BREAKS, BLOCK_BYTES)])
+                parts = slices(data, _BREAKS, BLOCK_BYTES) if self.by_word else [data]
+                yield np.concatenate([self.block([s])[0] for s in parts])
                 block, size = [], 0
                 continue
             block.append(data)
@@ -176,8 +246,7 @@ def pack(docs: DataFrame, model: str, capacity: int = CAPACITY, end_id: int = EN
     tasks, again a fixed number to a sequence. What is left then, fewer than k pieces of each class k (some
     ten thousand rows at most, whatever the input), is placed first-fit by decreasing length.
     Sequences are numbered without gaps from counts per task and class. Pieces with full texts move only
-    if their sequence is shared between tasks. Words are split and encoded as the tokenizer would, which must
-    part tokens at ASCII white space and drop it.
+    if their sequence is shared between tasks.
 
     Null and empty texts are one id long. Rows that repeat an id, null ids included, are separate documents.
     Extra columns are ignored. An empty table gives an empty result.

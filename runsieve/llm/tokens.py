@@ -37,11 +37,17 @@ def slices(data: bytes, breaks: np.ndarray, limit: int) -> Iterator[bytes]:
     yield data[lo:]
 
 
-def runs(raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes outside ``breaks``, and those bytes one run after the other."""
+def runs(raw: np.ndarray, breaks: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes outside ``breaks``, and those bytes one run after the other.
+    ``cut`` marks bytes at which a further run begins."""
     inside = ~breaks[raw]
-    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-    return edges[::2], edges[1::2], raw[inside]
+    if cut is None:
+        edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        return edges[::2], edges[1::2], raw[inside]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | cut[1:]
+    last[:-1] &= ~inside[1:] | cut[1:]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1, raw[inside]
 
 
 def encoded(letters: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, pa.Array]:
