@@ -20,7 +20,8 @@ MIN_COUNT = 100
 TOP = 2000
 #: A candidate falls if a longer one around it has this share of its occurrences, in per cent.
 SUBSUMED_PERCENT = 100
-#: Words and word pairs are counted in 2**TABLE_BITS cells; one bit per cell is broadcast (16 MB).
+#: Words and pairs, then runs of 3 to MAX_WORDS words, are counted in 2**TABLE_BITS cells; one bit per cell is
+#: broadcast (16 MB for each of the two tables).
 TABLE_BITS = 27
 _CHUNK_BITS = 16
 #: Text bytes of one language that a task counts together.
@@ -72,14 +73,22 @@ def _cell(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
-def _pair_cells(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return _cell(scramble(first * np.uint64(3) + second))
+def _extend(run: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The number of a run with one more word."""
+    return scramble(run * np.uint64(3) + word)
 
 
-def _count_cells(least: int):
-    """Cells of words and of neighbouring pairs, as sorted 16-bit numbers per chunk of the table. A word's
-    cell repeats up to ``least`` times a block, which is all that a threshold needs."""
-    schema = pa.schema([("chunk", pa.int32()), ("cells", pa.binary())])
+def _chunked(cells: np.ndarray) -> pa.RecordBatch:
+    """Cells as sorted 16-bit numbers per chunk of the table."""
+    cells = np.sort(cells.astype(np.uint32))
+    present, firsts = np.unique((cells >> _CHUNK_BITS).astype(np.int32), return_index=True)
+    parts = np.split((cells & ((1 << _CHUNK_BITS) - 1)).astype("<u2"), firsts[1:]) if len(cells) else []
+    return pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "cells"])
+
+
+def _count_short(least: int):
+    """Cells of words and of neighbouring pairs. A word's cell repeats up to ``least`` times a block, which is
+    all that a threshold needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, block in _blocks(batches):
@@ -89,11 +98,30 @@ def _count_cells(least: int):
             mixed = _word_cells(lang, words)
             times = np.minimum(np.bincount(index, minlength=len(words)), least)
             pairs = np.flatnonzero(follows)
-            cells = np.concatenate((np.repeat(_cell(mixed), times), _pair_cells(mixed[index[pairs]], mixed[index[pairs + 1]]))).astype(np.uint32)
-            cells.sort()
-            present, firsts = np.unique((cells >> _CHUNK_BITS).astype(np.int32), return_index=True)
-            parts = np.split((cells & ((1 << _CHUNK_BITS) - 1)).astype("<u2"), firsts[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
+            yield _chunked(np.concatenate((np.repeat(_cell(mixed), times), _cell(_extend(mixed[index[pairs]], mixed[index[pairs + 1]])))))
+
+    return run
+
+
+def _count_longer(short):
+    """Cells of the runs of 3 to MAX_WORDS words whose words and pairs may all be frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(short.value, np.uint8)
+        for lang, block in _blocks(batches):
+            index, follows, words = _tokens(block)
+            if not len(index):
+                continue
+            mixed = _word_cells(lang, words)
+            joined = _joined(index, follows, mixed, table)
+            at, cells = np.flatnonzero(joined), []
+            number = _extend(mixed[index[at]], mixed[index[at + 1]])
+            for size in range(3, MAX_WORDS + 1):
+                more = joined[at + size - 2]
+                at = at[more]
+                number = _extend(number[more], mixed[index[at + size - 1]])
+                cells.append(_cell(number))
+            yield _chunked(np.concatenate(cells))
 
     return run
 
@@ -115,10 +143,10 @@ def _threshold(least: int):
     return run
 
 
-def _frequent_cells(texts: DataFrame, least: int):
-    """A broadcast bit table of a size fixed by ``TABLE_BITS``: every word and pair that occurs ``least`` times
-    lies in a marked cell, so an unmarked one is surely rarer."""
-    cells = texts.mapInArrow(_count_cells(least), "chunk int, cells binary").repartition(64, "chunk")
+def _frequent_cells(texts: DataFrame, count, least: int):
+    """A broadcast bit table of a size fixed by ``TABLE_BITS``: whatever ``count`` counts and occurs ``least``
+    times lies in a marked cell, so what has an unmarked one is surely rarer."""
+    cells = texts.mapInArrow(count, "chunk int, cells binary").repartition(64, "chunk")
     table = np.zeros((1 << (TABLE_BITS - _CHUNK_BITS), 1 << (_CHUNK_BITS - 3)), np.uint8)
     rows = cells.mapInArrow(_threshold(least), "chunk int, bits binary").toArrow()
     for chunk, bits in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
@@ -130,41 +158,49 @@ def _marked(table: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return ((table[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def _windows(frequent):
+def _joined(index: np.ndarray, follows: np.ndarray, mixed: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each word and the next form a pair of one piece that may be frequent; padded at the end."""
+    alone = _marked(table, _cell(mixed))[index]
+    pairs = np.flatnonzero(follows & alone & np.append(alone[1:], False))
+    joined = np.zeros(len(index) + MAX_WORDS, bool)
+    joined[pairs[_marked(table, _cell(_extend(mixed[index[pairs]], mixed[index[pairs + 1]])))]] = True
+    return joined
+
+
+def _windows(short, longer):
     """The longest window at every word of a block, counted: the word and those that follow in its piece,
-    padded with null from the first word or pair on that is too rare for any candidate."""
+    padded with null from the word on that makes a run too rare for any candidate."""
     schema = pa.schema([("lang", pa.string()), *[(w, pa.string()) for w in _WORDS], ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(frequent.value, np.uint8)
+        table, long_table = np.frombuffer(short.value, np.uint8), np.frombuffer(longer.value, np.uint8)
         for lang, block in _blocks(batches):
             index, follows, words = _tokens(block)
             if not len(index):
                 continue
             mixed = _word_cells(lang, words)
-            alone = _marked(table, _cell(mixed))[index]
-            pairs = np.flatnonzero(follows & alone & np.append(alone[1:], False))
-            good = pairs[_marked(table, _pair_cells(mixed[index[pairs]], mixed[index[pairs + 1]]))]
-            joined = np.zeros(len(index) + MAX_WORDS, bool)
-            joined[good] = True
+            joined = _joined(index, follows, mixed, table)
             text = words.cast(pa.large_string()).cast(pa.string())
+            at = np.flatnonzero(_marked(table, _cell(mixed))[index])
             # Distinct windows of one length as numbers; the next length extends them, so equal windows meet exactly.
-            at, ends_here, level = np.flatnonzero(alone), None, [np.arange(len(words))]
-            number = index[at].astype(np.int64)
+            level, number, run_of = [np.arange(len(words))], index[at].astype(np.int64), mixed[index[at]]
             rows: list[tuple[list[np.ndarray], np.ndarray]] = [([], np.array([len(index) - len(at)]))]
             for size in range(1, MAX_WORDS + 1):
-                longer = joined[at + size - 1] if size < MAX_WORDS else np.zeros(len(at), bool)
-                ends_here = np.bincount(number[~longer], minlength=len(level[0]))
+                more = joined[at + size - 1] if size < MAX_WORDS else np.zeros(len(at), bool)
+                run_of = _extend(run_of[more], mixed[index[at[more] + size]]) if size < MAX_WORDS else run_of
+                if 2 <= size < MAX_WORDS:
+                    frequent = _marked(long_table, _cell(run_of))
+                    more[more], run_of = frequent, run_of[frequent]
+                ends_here = np.bincount(number[~more], minlength=len(level[0]))
                 kept = np.flatnonzero(ends_here)
                 rows.append(([w[kept] for w in level], ends_here[kept]))
-                if size == MAX_WORDS:
+                at, number = at[more], number[more]
+                if not len(at):
                     break
-                at, number = at[longer], number[longer]
                 key, number = np.unique((number << 32) | index[at + size], return_inverse=True)
                 level = [w[key >> 32] for w in level] + [key & 0xFFFFFFFF]
             for columns, n in rows:
-                n = n[n > 0]
-                if not len(n):
+                if not n.any():
                     continue
                 taken = [text.take(pa.array(c)) for c in columns] + [pa.nulls(len(n), pa.string())] * (MAX_WORDS - len(columns))
                 arrays = [pa.array([lang] * len(n), pa.string()), *taken, pa.array(n, pa.int64())]
@@ -181,9 +217,10 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     prefix of k columns without padding is a phrase of k words, so no shorter window is ever made.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    frequent = _frequent_cells(texts, min_count)
+    short = _frequent_cells(texts, _count_short(min_count), min_count)
+    longer = _frequent_cells(texts, _count_longer(short), min_count)
     kinds = ", ".join(["lang string", *[f"{w} string" for w in _WORDS], "n bigint"])
-    windows = texts.mapInArrow(_windows(frequent), kinds).groupBy("lang", *_WORDS).agg(F.sum("n").alias("n"))
+    windows = texts.mapInArrow(_windows(short, longer), kinds).groupBy("lang", *_WORDS).agg(F.sum("n").alias("n"))
     windows = stored(windows, "windows")
     rolled = windows.rollup("lang", *_WORDS).agg(F.sum("n").alias("f"), F.grouping_id().alias("gid"))
     # The columns that a prefix of k words leaves out are the last ones: gid = 2**(MAX_WORDS - k) - 1.
