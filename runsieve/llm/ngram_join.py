@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runsieve.llm.common import ship, small_side, stored
+from runsieve.llm.common import key_of, ship, small_side, stored
 from runsieve.llm.components import connected
 from runsieve.llm.shingles import digest, parity, scramble, shingle_sets
 
@@ -27,6 +27,8 @@ PAIRED_SIZE = 1024
 #: 64-bit words of the parity bitmap.
 PARITY_WORDS = 8
 _RARE, _FREQUENT = 2, 3
+#: Bins of which each open document notes its least key.
+MEETING_BINS = 16
 
 
 def min_overlap(n: int, percent: int) -> int:
@@ -49,8 +51,8 @@ def _describe(k: int):
                 a.append(x)
                 b.append(y)
                 bits.append(parity(items, PARITY_WORDS).tolist())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bits, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h", "g", "bits"])
+            columns = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "n", "h", "g", "bits"])
 
     return run
 
@@ -149,31 +151,33 @@ def _prefix_keys(items: np.ndarray, table: np.ndarray, percent: int) -> np.ndarr
 
 
 def _index(k: int, percent: int, classes):
-    schema = pa.schema([("doc_id", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(classes.value, np.uint8)
         for batch in batches:
-            ids, keys = [], []
-            for doc, items in zip(batch.column(0).to_pylist(), shingle_sets(_each(batch.column(1)), k)):
+            ids, hashes, keys = [], [], []
+            for doc, t, items in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(_each(batch.column(1)), k)):
                 got = _prefix_keys(items, table, percent)
                 if doc is not None and len(got):
                     ids.append(doc)
+                    hashes.append(t)
                     keys.append(got.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+            columns = [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
 def _sets(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("items", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("items", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 items = [x.tobytes() for x in shingle_sets(_each(part.column(1)), k)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(items, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(items, pa.binary())], schema=schema)
 
     return run
 
@@ -203,6 +207,20 @@ def _may_link(percent: int) -> Column:
     return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (bits * (100 + percent) <= (nx + ny) * (100 - percent))
 
 
+def _meeting(inside: DataFrame) -> DataFrame:
+    """Per document its least key in each bin of keys."""
+    key_bin = F.pmod(F.xxhash64("key"), F.lit(MEETING_BINS))
+    least = [F.min(F.when(key_bin == b, F.col("key"))).alias(f"k{b}") for b in range(MEETING_BINS)]
+    return inside.groupBy("doc_id").agg(*least)
+
+
+def _meets_here() -> Column:
+    """Whether ``x`` and ``y`` shall meet at this key: the least keys of some bins are often equal, which makes
+    the first such key their one meeting place; a pair without one meets at every shared key."""
+    same = [F.when(F.col(f"x.k{b}") == F.col(f"y.k{b}"), F.col(f"x.k{b}")) for b in range(MEETING_BINS)]
+    return F.coalesce(F.coalesce(*same) == F.col("x.key"), F.lit(True))
+
+
 def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row ``doc_id, n_shingles, component_id``: groups of documents that links of Jaccard similarity
     ``percent`` or more join, over distinct shingles of ``k`` words.
@@ -211,39 +229,57 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     its prefix keys. Keys that two representatives share give links to the first representative of
     the key; a verified star makes a group of near copies one component in linear work. What stars leave
     open, pairs of one key in different components, is joined on the key under the size and bitmap bounds
-    and verified too; a pair inside one component cannot change the result and is never made. Verification
-    intersects whole sets.
+    and verified too, each pair at one of its shared keys as a rule (``_meets_here``); a pair inside one
+    component cannot change the result and is never made. Verification intersects whole sets.
 
     A text of fewer than ``k`` words is one shingle; without words it has none, is linked with nothing and
     is its own component. A null id takes no part and has a null component. Rows that repeat an id are
     judged by their own text. Extra columns are ignored. An empty table gives an empty result.
     """
+    out = _grouped(docs, k, percent)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Per row its id, hash of its text, size and digest of its set, and component."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50, so that similar sets of two tokens share both")
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    about = stored(docs.mapInArrow(_describe(k), "doc_id bigint, n bigint, h bigint, g bigint, bits array<bigint>"), "about")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", key_of(F.col("text")).alias("t"))
+    described = docs.mapInArrow(_describe(k), "doc_id bigint, t bigint, n bigint, h bigint, g bigint, bits array<bigint>")
+    about = stored(described, "about")
     real = about.filter("doc_id IS NOT NULL AND n > 0")
-    reps = stored(real.groupBy("h", "g").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = real.groupBy("h", "g").agg(F.min(F.struct("doc_id", "t")).alias("r")).select("h", "g", F.col("r.doc_id").alias("rep"), F.col("r.t").alias("rep_t"))
+    reps = stored(reps, "classes")
+    # A class goes by the id of its representative, or by a hash if that id stands for several texts.
+    twice = small_side(stored(reps.groupBy("rep").agg(F.count("*").alias("m")).filter("m > 1").select("rep", F.lit(True).alias("twice")), "twice"))
+    reps = reps.join(twice, "rep", "left").withColumn("node", F.when(F.col("twice"), F.xxhash64("rep", "rep_t")).otherwise(F.col("rep"))).drop("twice")
+    reps = stored(reps, "nodes")
+    node_of = reps.select(F.col("rep").alias("doc_id"), F.col("rep_t").alias("t"), "node")
+
+    def by_node(rows: DataFrame, *columns: str) -> DataFrame:
+        """Rows of representatives, with the node in the place of the id."""
+        return rows.join(node_of, ["doc_id", "t"]).select(F.col("node").alias("doc_id"), *columns)
+
     tokens = about.agg(F.sum("n")).first()[0] or 0
     classes = token_classes(docs, k, tokens)
-    keys = docs.mapInArrow(_index(k, percent, classes), "doc_id bigint, keys array<bigint>")
-    keys = stored(keys.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "keys")
+    keys = docs.mapInArrow(_index(k, percent, classes), "doc_id bigint, t bigint, keys array<bigint>")
+    keys = stored(by_node(keys, "keys"), "keys")
     postings = keys.select("doc_id", F.explode("keys").alias("key"))
     shared = postings.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("m"))
     shared = stored(shared.filter("last > first"), "shared")
     # A key of two representatives is settled by its star; only longer lists are kept.
     lists = stored(postings.join(shared.filter("m > 2").select("key", "first"), "key"), "lists")
-    sketch = real.select("doc_id", "n", "bits").distinct()
-    sketch = sketch.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sketch = by_node(real.select("doc_id", "t", "n", "bits").distinct(), "n", "bits")
     ends = shared.filter("m = 2").select(F.col("first").alias("a"), F.col("last").alias("b"))
     stars = ends.unionAll(lists.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))).distinct()
     x, y = sketch.alias("x"), sketch.alias("y")
     stars = stars.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id")).filter(_may_link(percent)).select("a", "b")
     stars = stored(stars, "stars")
     listed = lists.select("doc_id").unionAll(lists.select("first")).unionAll(stars.select("a")).unionAll(stars.select("b")).distinct()
-    listed = small_side(stored(listed.withColumnRenamed("doc_id", "_id"), "listed"))
-    texts = docs.join(listed, F.col("doc_id") == F.col("_id"), "left_semi")
-    sets = stored(texts.mapInArrow(_sets(k), "doc_id bigint, items binary"), "sets")
+    listed = listed.join(node_of.withColumnRenamed("doc_id", "_id").withColumnRenamed("t", "_t"), F.col("doc_id") == F.col("node"))
+    listed = small_side(stored(listed.select("_id", "_t"), "listed"))
+    texts = docs.join(listed, (F.col("doc_id") == F.col("_id")) & (F.col("t") == F.col("_t")), "left_semi")
+    sets = stored(by_node(texts.mapInArrow(_sets(k), "doc_id bigint, t bigint, items binary").dropDuplicates(["doc_id", "t"]), "items"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = (sets.select(F.col("doc_id").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
@@ -261,19 +297,42 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     outside = state.filter("c <> head")
     open_keys = outside.select("key").distinct()
     inside = state.join(open_keys, "key", "left_semi").join(sketch, "doc_id")
-    inside = stored(inside, "open")
+    inside = stored(inside.join(_meeting(inside), "doc_id"), "open")
     pairs = inside.filter("c <> head").alias("x").join(inside.alias("y"), F.col("x.key") == F.col("y.key"))
     new = (F.col("x.c") != F.col("y.c")) & (F.col("y.doc_id") != F.col("y.first")) & ((F.col("y.c") == F.col("y.head")) | (F.col("x.doc_id") < F.col("y.doc_id")))
-    pairs = pairs.filter(new & _may_link(percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    pairs = pairs.filter(new & _meets_here() & _may_link(percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
     more = verified(stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"))
     final = stored(connected(links.unionAll(more)), "final")
-    class_of = reps.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("h", "g", F.coalesce("component_id", "rep").alias("component_id"))
+    members = reps.join(final.select(F.col("id").alias("node"), F.col("component_id").alias("label")), "node")
+    names = members.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = stored(members.join(names, "label").select("node", "component_id"), "members")
+    class_of = reps.join(named, "node", "left").select("h", "g", F.coalesce("component_id", "rep").alias("component_id"))
     out = about.join(class_of, ["h", "g"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", "t", "n", "h", "g", component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group, that with the smallest id; rows with a null id all stay."""
-    drop = stored(similar_groups(docs, k, percent).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
-    return docs.join(small_side(drop), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each group: the smallest id, of its rows that with the least text hash.
+
+    Rows are judged by id and text: where an id repeats with other texts each text is in its own group, and
+    of rows that repeat both one stays. Null ids are in no group, but of their rows with one set of shingles one
+    stays, none if a row with an id has that set. Rows without words all stay. All columns are kept.
+    """
+    rows = stored(_grouped(docs, k, percent).filter("n > 0"), "grouped")
+    named = rows.filter("doc_id IS NOT NULL")
+    heads = named.filter("doc_id = component_id").groupBy("component_id").agg(F.min("t").alias("first"))
+    later = named.join(heads, "component_id", "left").filter("doc_id > component_id OR t <> first").select("doc_id", "t")
+    nameless = rows.filter("doc_id IS NULL").groupBy("h", "g", "t").agg(F.count("*").alias("m"))
+    taken = named.select("h", "g").distinct().withColumn("taken", F.lit(True))
+    lead = nameless.groupBy("h", "g").agg(F.min("t").alias("first"))
+    spare = nameless.join(lead, ["h", "g"]).join(taken, ["h", "g"], "left").filter("taken OR t <> first")
+    gone = later.unionAll(spare.select(F.lit(None).cast("bigint").alias("doc_id"), "t"))
+    # How often each (id, text) that repeats or goes may stay.
+    again = rows.groupBy("doc_id", "t").agg(F.count("*").alias("m")).filter("m > 1").select("doc_id", "t", F.lit(1).alias("stay"))
+    fates = again.unionAll(gone.select("doc_id", "t", F.lit(0).alias("stay"))).groupBy("doc_id", "t").agg(F.min("stay").alias("_stay"))
+    fates = small_side(stored(fates.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "_stay"), "fates"))
+    told = docs.withColumn("_key", key_of(F.col("text")))
+    told = told.join(fates, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_t")), "left")
+    once = told.filter("_stay IS NULL").select(*docs.columns)
+    return once.unionAll(told.filter("_stay = 1").dropDuplicates(["_id", "_t"]).select(*docs.columns))

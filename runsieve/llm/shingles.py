@@ -24,6 +24,20 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Values of the first places of a word; later ones are computed.
+_PLACES = scramble(np.arange(64 * 257, dtype=np.uint64) * _STEP)
+
+
+def _letter_values(letters: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """An independent number for each byte value, 0 included, at each place of a word."""
+    at = place * 257 + letters + 1
+    values = _PLACES[np.minimum(at, len(_PLACES) - 1)]
+    far = at >= len(_PLACES)
+    if far.any():
+        values[far] = scramble(at[far].astype(np.uint64) * _STEP)
+    return values
+
+
 def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(np.full(n, _BASE, dtype=np.uint64))
 
@@ -38,10 +52,10 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         return starts, np.empty(0, np.uint64)
     lengths = ends - starts
     # Bytes of the words alone, word after word.
-    letters = raw[inside].astype(np.uint64)
+    letters = raw[inside].astype(np.int64)
     firsts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     place = np.arange(len(letters)) - np.repeat(firsts, lengths)
-    return starts, scramble(np.add.reduceat(letters * _powers(int(lengths.max()))[place], firsts))
+    return starts, scramble(np.add.reduceat(_letter_values(letters, place), firsts))
 
 
 def _join_words(words: np.ndarray, k: int) -> np.ndarray:

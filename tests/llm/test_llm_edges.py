@@ -222,7 +222,58 @@ def test_ngram_join_edges(docs):
     assert len(got) == len(EDGES) and {r.component_id for r in got if r.doc_id is None} == {None}
     assert ngram_join.similar_groups(docs([])).count() == 0
     kept = ngram_join.keep_one(docs([*EDGES, (8, "same SAME")]).withColumn("n", F.lit(1)))
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 5, 6]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6]
+    # An id that repeats with another text loses only the copy; of rows without an id one of a kind stays.
+    text = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(1, text), (2, text), (2, "a clean text of its own words here"), (None, text), (None, "only here and nowhere else today"), (None, "only here and nowhere else today")]
+    kept = sorted((r.doc_id or 0, r.text) for r in ngram_join.keep_one(docs(rows)).collect())
+    assert kept == [(0, rows[4][1]), (1, text), (2, rows[2][1])]
+
+
+def test_ngram_join_with_a_shared_passage(docs):
+    """Many unlike documents around one passage, some of them near copies of each other, meet once a pair."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = []
+    for i in range(60):
+        own = " ".join(f"u{i if i % 5 else 0}x{j}" for j in range(12 + i % 5))
+        rows.append((i, own + " " + passage + (" tail" if rng.random() < 0.5 else "")))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(docs(rows), 5, 80).collect()}
+    assert got == brute_groups(rows, 5, 80)
+
+
+def test_words_with_nul_differ(docs):
+    words = "a b c d e f g h i j k l".split()
+    rows = [(1, " ".join(words)), (2, " ".join(["a\0", *words[1:]])), (3, "a \0 b"), (4, "a \0\0 b"), (5, "\0"), (6, "\0\0")]
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(docs(rows), 3, 90).collect()}
+    assert got == {i: i for i, _ in rows}
+    long = [bytes(97 + (bin(i).count("1") + flip) % 2 for i in range(2048)).decode() for flip in (0, 1)]
+    a, b = shingle_sets(long, 1)
+    assert a[0] != b[0]
+
+
+@pytest.mark.parametrize("text", ["a" * 300_000 + " @ 3.1", "1" * 300_000 + " 3.1 @", "b" * 200_000 + "@" + "c" * 200_000])
+def test_pii_long_runs(docs, text):
+    assert pii.find_pii(docs([(1, text)])).select("pii").first()[0] == []
+
+
+def test_pii_many_spans(docs):
+    text = "1.1.1.1 " * 3_000 + "a@b.c_d@e.f"
+    spans = pii.find_pii(docs([(1, text)])).select("pii").first()[0]
+    assert [s.start for s in spans if s.kind == "ip"] == [8 * i for i in range(3_000)]
+    assert [(s.text, s.start) for s in spans if s.kind == "email"] == [("a@b.c", 24_000), ("_d@e.f", 24_005)]
+    iban = "ES91 2100 0418 4502 0005 1332"
+    got = pii.find_pii(docs([(1, iban + " EUR"), (2, iban + " IS IT"), (3, iban)])).select("doc_id", "pii.text").collect()
+    assert {r.doc_id: r.text for r in got} == {1: [iban], 2: [iban], 3: [iban]}
+
+
+def test_slots_do_not_depend_on_the_layout(docs):
+    rows = [(i % 400, f"text {i % 300}") for i in range(1_000)] + [(7, "same")] * 200
+    slots = [
+        sorted((r.doc_id, r.text, r.shard, r.slot) for r in sharding.shuffle_into_shards(docs(rows, parts), 4, bucket_bytes=2_000).collect())
+        for parts in (2, 7)
+    ]
+    assert slots[0] == slots[1] and len(slots[0]) == len(rows)
 
 
 def test_parity_bounds_difference():
