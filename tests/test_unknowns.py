@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runsieve.operators.aggregate import metric_aggregates
-from runsieve.operators.gate import run_actions
+from runsieve.operators.gate import gate, run_actions
 from runsieve.operators.traces import planned_tools
 from runsieve.operators.verdicts import judge_requests
 
@@ -46,3 +46,15 @@ def test_a_trace_without_calls_plans_none(spark):
 def test_judge_limit_keeps_its_digits(case_row):
     texts = [r["user_text"] for r in judge_requests(case_row(), {"faithfulness": 0.875}).collect()]
     assert sum("Passing score: 0.875." in t for t in texts) == 1 and sum("Passing score: 0.85." in t for t in texts) == 1
+
+
+def test_unknown_numbers_fail_the_gate(spark):
+    schema = "id string, overall_score double, error_rate double, completed_cases bigint, total_cases bigint, timed_out boolean"
+    rows = [
+        ("good", 0.9, 0.0, 5, 5, False), ("no score", None, 0.0, 5, 5, False), ("no rate", 0.9, None, 5, 5, False), ("NaN", float("nan"), 0.0, 5, 5, False),
+        ("no clock", 0.9, 0.0, 5, 5, None), ("no count", 0.9, 0.0, None, 5, False), ("late", 0.9, 0.0, 0, None, True),
+    ]
+    limits = F.struct(F.lit(0.85).alias("overall"), F.lit(0.05).alias("max_error_rate"))
+    got = {r["id"]: (r["status"], r["gate_passed"]) for r in gate(spark.createDataFrame(rows, schema).withColumn("thresholds", limits)).collect()}
+    assert got.pop("good") == ("pass", True) and got.pop("late") == ("timeout", False)
+    assert set(got.values()) == {("fail", False)}
