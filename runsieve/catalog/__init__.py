@@ -6,7 +6,7 @@ import importlib
 
 from runsieve.catalog.registry import ORACLES, QUERIES, Query
 
-_MODULES = ("scoring", "aggregates", "lifecycle", "ingest", "judging", "results", "dispatching", "streams")
+_MODULES = ("scoring", "aggregates", "lifecycle", "ingest", "judging", "results", "dispatching", "streams", "keyed")
 
 
 def _load() -> None:

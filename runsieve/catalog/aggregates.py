@@ -211,6 +211,16 @@ _METRIC_TEXT = f"""
     FROM aggs GROUP BY 1"""
 
 
+def report_columns(reports):
+    """Reports with their metrics as one line and the mean of answer relevance."""
+    report = rep.pick_metric(reports, "answer_relevance", "mean", "relevance_mean")
+    return report.select(
+        RUN, "status", "gate_passed", F.array_join("failures", "; ").alias("failures"), "overall_score", "total_cases",
+        "completed_cases", "passed_cases", "failed_cases", "error_cases", "pass_rate", "error_rate",
+        F.expr(_METRIC_LINE).alias("metrics"), "relevance_mean",
+    )
+
+
 @query(
     "run_report",
     with_views(
@@ -222,12 +232,7 @@ _METRIC_TEXT = f"""
     ),
 )
 def run_report(spark, sf):
-    report = rep.pick_metric(_event_reports(spark, sf), "answer_relevance", "mean", "relevance_mean")
-    return report.select(
-        RUN, "status", "gate_passed", F.array_join("failures", "; ").alias("failures"), "overall_score", "total_cases",
-        "completed_cases", "passed_cases", "failed_cases", "error_cases", "pass_rate", "error_rate",
-        F.expr(_METRIC_LINE).alias("metrics"), "relevance_mean",
-    )
+    return report_columns(_event_reports(spark, sf))
 
 
 _DATASET = {

@@ -201,20 +201,20 @@ def result_facts(results: DataFrame) -> DataFrame:
     return explode_once(results.select(RUN, facts.alias("_facts")), "_facts", "_f").select(RUN, "_f.*")
 
 
-def outcome_facts(cases: DataFrame) -> DataFrame:
-    """Outcome facts alone, from a table of case flags."""
+def outcome_facts(cases: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Outcome facts alone, from a table of case flags; ``keep`` names further columns to carry."""
     tokens = [
         (F.col(c).cast("bigint") if c in cases.columns else F.lit(0).cast("bigint")).alias(c)
         for c in ("input_tokens", "output_tokens")
     ]
-    return cases.select(RUN, case_outcome(cases).alias("metric"), F.lit(None).cast("double").alias("score"), *tokens)
+    return cases.select(RUN, *keep, case_outcome(cases).alias("metric"), F.lit(None).cast("double").alias("score"), *tokens)
 
 
-def long_facts(scores: DataFrame, cases: DataFrame) -> DataFrame:
-    """The same facts from a long score table and a table of case flags."""
+def long_facts(scores: DataFrame, cases: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same facts from a long score table and a table of case flags; ``keep`` names columns of both to carry."""
     none = F.lit(None).cast("bigint")
-    metrics = valid_scores(scores).select(RUN, "metric", "score", none.alias("input_tokens"), none.alias("output_tokens"))
-    return metrics.unionByName(outcome_facts(cases))
+    metrics = valid_scores(scores).select(RUN, *keep, "metric", "score", none.alias("input_tokens"), none.alias("output_tokens"))
+    return metrics.unionByName(outcome_facts(cases, keep))
 
 
 def fact_histogram(facts: DataFrame) -> DataFrame:

@@ -46,7 +46,11 @@ def build_reports(facts: DataFrame, runs: DataFrame | None = None, thresholds: T
     ``runs`` gives eval_run_id, total_cases, optional timed_out and thresholds;
     its runs without results are kept. Without it the runs are those with facts.
     """
-    hist = agg.fact_histogram(facts)
+    return reports_from_histogram(agg.fact_histogram(facts), runs, thresholds)
+
+
+def reports_from_histogram(hist: DataFrame, runs: DataFrame | None = None, thresholds: Thresholds | None = None) -> DataFrame:
+    """``build_reports`` from counted facts (run, metric, score, c and tokens), which are read several times."""
     counts = agg.with_thresholds(agg.run_case_counts(hist, runs), thresholds)
     if "timed_out" not in counts.columns:
         counts = counts.withColumn("timed_out", F.lit(False))
