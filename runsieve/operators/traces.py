@@ -83,28 +83,36 @@ def normalise_responses(responses: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
+def _latency(df: DataFrame, field: str, parent: str | None = None) -> Column:
+    """The latency of a trace in milliseconds, 0 where it is not told or the table has no such field."""
+    known = df.columns if parent is None else df.schema[parent].dataType.names
+    value = F.col(field if parent is None else f"{parent}.{field}") if field in known else F.lit(None)
+    return F.coalesce(value.cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def resolve_traces(cases: DataFrame, responses: DataFrame, k: int = 4, candidate_replies: DataFrame | None = None) -> DataFrame:
-    """Add answer, retrieved_contexts, tool_names, tool_calls and error per case.
+    """Add answer, retrieved_contexts, tool_names, tool_calls, latency_ms and error per case.
 
     ``cases`` carries ``eval_mode`` and ``agent_endpoint`` columns; ``responses``
     holds normalised live replies keyed by (eval_run_id, case_id), with an
     optional ``status_code``. ``candidate_replies`` holds the texts of the candidate
     model as ``reply_text`` under the same key; a missing or blank one gives the
-    fallback answer. A case that cannot be resolved gets an error text instead of
+    fallback answer. ``latency_ms`` is that of the trace or reply used, 0 where it has none. A case that cannot be resolved gets an error text instead of
     a failed stage.
     """
     keys = ["eval_run_id", "case_id"]
     live = responses.select(
         *keys,
-        F.struct("answer", "retrieved_contexts", "tool_calls").alias("_live"),
+        F.struct("answer", "retrieved_contexts", "tool_calls", _latency(responses, "latency_ms").alias("latency_ms")).alias("_live"),
         (F.col("status_code") if "status_code" in responses.columns else F.lit(200)).alias("_status"),
     )
     recorded, mode = F.col("recorded_trace"), F.col("eval_mode")
     whole = cases.join(live, keys, "left")
     if candidate_replies is None:
-        whole = whole.withColumn("_said", F.lit(None).cast("string"))
+        whole = whole.withColumn("_said", F.lit(None).cast("string")).withColumn("_took", F.lit(0).cast("bigint"))
     else:
-        whole = whole.join(candidate_replies.select(*keys, strip(F.col("reply_text")).alias("_said")), keys, "left")
+        took = _latency(candidate_replies, "latency_ms").alias("_took")
+        whole = whole.join(candidate_replies.select(*keys, strip(F.col("reply_text")).alias("_said"), took), keys, "left")
     joined = replayed_calls(rank_case_passages(whole, k=k, out="_ranked", only=mode == "candidate"), out="_replayed")
     candidate = F.struct(
         F.coalesce(
@@ -112,6 +120,7 @@ def resolve_traces(cases: DataFrame, responses: DataFrame, k: int = 4, candidate
         ).alias("answer"),
         F.col("_ranked").alias("retrieved_contexts"),
         F.col("_replayed").alias("tool_calls"),
+        F.coalesce("_took", F.lit(0)).alias("latency_ms"),
     )
     stored = F.when(
         recorded.isNotNull(),
@@ -119,6 +128,7 @@ def resolve_traces(cases: DataFrame, responses: DataFrame, k: int = 4, candidate
             recorded["answer"].alias("answer"),
             F.coalesce(recorded["retrieved_contexts"], F.array().cast(_TEXTS)).alias("retrieved_contexts"),
             F.coalesce(recorded["tool_calls"], F.array().cast(_CALLS)).alias("tool_calls"),
+            _latency(cases, "latency_ms", "recorded_trace").alias("latency_ms"),
         ),
     )
     usable = (or_str(F.col("agent_endpoint")).isNotNull()) & F.col("_live").isNotNull() & (F.col("_status") < 400)
@@ -140,8 +150,9 @@ def resolve_traces(cases: DataFrame, responses: DataFrame, k: int = 4, candidate
         .withColumn("answer", F.coalesce("_trace.answer", F.lit("")))
         .withColumn("retrieved_contexts", F.coalesce("_trace.retrieved_contexts", F.array().cast(_TEXTS)))
         .withColumn("tool_calls", F.coalesce("_trace.tool_calls", F.array().cast(_CALLS)))
+        .withColumn("latency_ms", F.coalesce("_trace.latency_ms", F.lit(0)))
         .withColumn("tool_names", F.transform("tool_calls", lambda c: c["name"]))
-        .drop("_live", "_status", "_said", "_ranked", "_replayed", "_trace")
+        .drop("_live", "_status", "_said", "_took", "_ranked", "_replayed", "_trace")
     )
 
 

@@ -24,7 +24,7 @@ _RUBRICS = {
     METRICS[0]: "Rate groundedness: the share of the answer's claims that the context supports (0 without claims).",
     METRICS[1]: "Rate relevance: how far the answer settles the question, using the expected answer as a guide.",
 }
-_TRACE_CHARS = 2000
+TRACE_CHARS = 2000
 
 
 def _limit(value: float) -> str:
@@ -110,7 +110,7 @@ def judge_verdicts(replies: DataFrame, text: str = "reply_text", threshold: Colu
         .withColumn("reasoning", F.when(ok, text_or_empty(field("reasoning"))).otherwise(F.lit(_NOT_JSON)))
         .withColumn(
             "chain_of_thought",
-            F.when(ok, text_or_empty(field("chain_of_thought"))).otherwise(F.substring(F.col(text), 1, _TRACE_CHARS)),
+            F.when(ok, text_or_empty(field("chain_of_thought"))).otherwise(F.substring(F.col(text), 1, TRACE_CHARS)),
         )
         .withColumn(
             "n_claims",
@@ -197,7 +197,7 @@ def error_results(failed: DataFrame, error_type: str, message: str, trace: str)
     return (
         failed.withColumn("answer", F.lit(""))
         .withColumn("error", F.concat_ws(": ", F.col(error_type), F.col(message)))
-        .withColumn("traceback", F.right(F.col(trace), F.lit(_TRACE_CHARS)))
+        .withColumn("traceback", F.right(F.col(trace), F.lit(TRACE_CHARS)))
         .withColumn("n_metrics", F.lit(0).cast("bigint"))
         .withColumn("input_tokens", F.lit(0).cast("bigint"))
         .withColumn("output_tokens", F.lit(0).cast("bigint"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runsieve.operators.aggregate import CASE_KEY, case_passed, case_tokens, with_thresholds
 from runsieve.operators.scoring import score_traces
 from runsieve.operators.traces import resolve_traces
-from runsieve.operators.verdicts import judge_verdicts, model_replies
+from runsieve.operators.verdicts import TRACE_CHARS, judge_verdicts, model_replies
 from runsieve.schemas import CASE_RESULT, METRIC, METRICS, PASS_CUTOFF
 
 #: Metrics that a judge or an adapter may score; tools are scored from the trace alone.
@@ -34,10 +34,16 @@ def judge_scores(replies: DataFrame) -> DataFrame:
 
 
 def adapter_scores(rows: DataFrame) -> DataFrame:
-    """Columns ``<backend>_<metric>`` per case from rows of ``external_scores`` with run, case and metric."""
+    """Columns ``<backend>_<metric>`` per case from rows of ``external_scores`` with run, case and metric.
+
+    Rows of ``apply_scorer`` may carry ``error`` and ``traceback``; a delivery with a score counts before a failed one.
+    """
     names = [f"{b}_{m}" for b in ADAPTERS for m in JUDGED]
-    given = rows.filter(F.col("score").isNotNull())
-    return _by_case(given, F.concat_ws("_", "backend", "metric"), F.struct("score", "passed"), names)
+    for name in ("error", "traceback"):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast("string"))
+    given = rows.filter("score IS NOT NULL OR error IS NOT NULL")
+    return _by_case(given, F.concat_ws("_", "backend", "metric"), F.struct("score", "passed", "error", "traceback"), names)
 
 
 def _metric(name: str, score: Column, passed: Column, reasoning: Column, thought: Column, details: Column, judge: Column, tokens: list[Column]) -> Column:
@@ -57,7 +63,7 @@ def _judged_metric(name: str) -> Column:
     for b in ADAPTERS:
         got = F.col(f"{b}_{name}")
         row = _metric(name, got["score"], got["passed"], F.lit(f"scored by {b}"), F.lit(b), F.lit("{}"), none, zeros)
-        wanted = (F.col("eval_backend") == b) & got.isNotNull()
+        wanted = (F.col("eval_backend") == b) & got["score"].isNotNull()
         choice = F.when(wanted, row) if choice is None else choice.when(wanted, row)
     passed = F.coalesce(judge["passed"], judge["score"] >= F.col("thresholds")[name])
     judged = _metric(
@@ -70,11 +76,21 @@ def _judged_metric(name: str) -> Column:
 
 def _unjudged(name: str) -> Column:
     """Error text of a case whose judge is needed and has not replied."""
-    used = [(F.col("eval_backend") == b) & F.col(f"{b}_{name}").isNotNull() for b in ADAPTERS]
+    used = [(F.col("eval_backend") == b) & F.col(f"{b}_{name}.score").isNotNull() for b in ADAPTERS]
     needed = F.coalesce(F.col("judge_enabled"), F.lit(False)) & ~F.coalesce(used[0] | used[1], F.lit(False))
     return F.when(needed & F.col(f"judge_{name}").isNull(), F.lit(f"JudgeError: no reply on {name}"))
 
 
+def _scorer_failure(field: str) -> Column:
+    """``error`` or ``traceback`` of the requested adapter where it failed on the first metric that it failed on."""
+    failed = [
+        F.when((F.col("eval_backend") == b) & F.col(f"{b}_{m}.score").isNull(), F.struct(F.col(f"{b}_{m}.error").alias("error"), F.col(f"{b}_{m}.traceback").alias("traceback")))
+        for m in JUDGED
+        for b in ADAPTERS
+    ]
+    return F.coalesce(*[F.when(f["error"].isNotNull(), f) for f in failed])[field]
+
+
 def case_results(
     cases: DataFrame,
     live: DataFrame,
@@ -89,7 +105,9 @@ def case_results(
     thresholds, judge_model_id and candidate_model_id. ``live`` are normalised agent replies,
     ``judge_replies`` and ``candidate_replies`` model replies as JSON bodies, ``adapter_rows`` scores of
     external scorers; all are keyed by (run, case) and may be redelivered or missing. A case that cannot be
-    resolved, or whose judge is needed and silent, is an error row without metrics.
+    resolved, whose requested adapter failed, or whose judge is needed and silent, is an error row without metrics.
+    ``latency_ms`` is that of the trace in use, also on error rows. ``metadata`` of an error row is a JSON object
+    with the end of the scorer's traceback, or of the error text where no scorer ran.
 
     All joins are on (run, case), so cases are shuffled once; everything after them is one narrow stage.
     """
@@ -109,7 +127,8 @@ def case_results(
         )),
         F.lit(None), [F.lit(0), F.lit(0)],
     )
-    scored = scored.withColumn("error", F.coalesce("error", *[_unjudged(m) for m in JUDGED]))
+    trace = F.when(F.col("error").isNull(), _scorer_failure("traceback"))
+    scored = scored.withColumn("_trace", trace).withColumn("error", F.coalesce("error", _scorer_failure("error"), *[_unjudged(m) for m in JUDGED]))
     failed, none = F.col("error").isNotNull(), F.array()
     metrics = F.array(*[_judged_metric(m) for m in JUDGED], tools)
     rows = scored.withColumn("metrics", F.when(failed, none.cast(_METRICS_TYPE)).otherwise(metrics.cast(_METRICS_TYPE)))
@@ -117,11 +136,12 @@ def case_results(
     calls, texts = CASE_RESULT["tool_call_logs"].dataType, "array<string>"
     values = {
         "answer": F.when(failed, "").otherwise(F.col("answer")),
-        "latency_ms": F.lit(0),
+        "latency_ms": F.col("latency_ms"),
         "input_tokens": F.col("_tokens.input_tokens"),
         "output_tokens": F.col("_tokens.output_tokens"),
         "tool_call_logs": F.when(failed, none.cast(calls)).otherwise(F.col("tool_calls")),
         "retrieved_contexts": F.when(failed, none.cast(texts)).otherwise(F.col("retrieved_contexts")),
+        "metadata": F.when(failed, F.to_json(F.struct(F.right(F.coalesce("_trace", "error"), F.lit(TRACE_CHARS)).alias("traceback")))).otherwise(F.col("metadata")),
         "evaluated_at": F.lit(None) if evaluated_at is None else evaluated_at,
     }
     out = [values.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in CASE_RESULT.fields]

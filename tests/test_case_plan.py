@@ -5,6 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from runsieve.operators.runs import latest_status
+from runsieve.operators.scorers import apply_scorer, register_scorer
+from runsieve.operators.traces import normalise_responses
 from runsieve.plans.cases import case_results
 from runsieve.plans.runs import aggregate_runs, run_outputs, runs_to_gate, stored_results
 from runsieve.sources.results import parse_result_documents, read_result_documents
@@ -76,6 +78,25 @@ def test_candidate_reply_is_stripped_or_replaced(spark):
     assert [got[c]["answer"] for c in "abc"] == ["said", "ans", "ans"]
 
 
+def test_latency_traceback_and_failed_scorers(spark):
+    register_scorer("deepeval", lambda pdf: [1 / 0 if c == "b" else 0.9 for c in pdf["case_id"]])
+    requests = spark.createDataFrame([("r", c) for c in "abc"], "eval_run_id string, case_id string")
+    scored = [apply_scorer(requests, "deepeval", n) for n in _NAMES]
+    adapters = scored[0].unionByName(scored[1]).withColumn("passed", F.col("score") >= 0.85)
+    base = _cases(spark, a={"backend": "deepeval"}, b={"backend": "deepeval"}, c={"mode": "online"}, d={"trace": None}, e={"judged": False})
+    trace = F.when(F.col("recorded_trace").isNotNull(), F.col("recorded_trace").withField("latency_ms", F.lit(70)))
+    cases = base.withColumn("recorded_trace", trace).withColumn("agent_endpoint", F.lit("https://a")).withColumn("judge_enabled", F.col("case_id") == "b")
+    live = spark.createDataFrame([("r", "c", '{"answer": "x", "latency_ms": 31}')], "eval_run_id string, case_id string, body string")
+    rows = case_results(cases, normalise_responses(live), spark.createDataFrame([], _REPLY), adapters)
+    got = {r["case_id"]: r for r in rows.collect()}
+    assert {c: got[c]["latency_ms"] for c in "abcde"} == {"a": 70, "b": 70, "c": 31, "d": 0, "e": 70}
+    assert got["a"]["metrics"][0]["score"] == 0.9 and got["a"]["error"] is None and got["a"]["metadata"] == "{}"
+    assert got["b"]["error"] == "ZeroDivisionError: division by zero" and got["b"]["metrics"] == []
+    assert "Traceback" in json.loads(got["b"]["metadata"])["traceback"]
+    assert got["d"]["error"].startswith("AgentError") and json.loads(got["d"]["metadata"]) == {"traceback": got["d"]["error"]}
+    assert got["e"]["error"] is None and len(got["e"]["metrics"]) == 3
+
+
 def _result(run, case, score, error=None):
     metrics = [] if error else [{"name": n, "score": score, "passed": score >= 0.85} for n in (*_NAMES, "tool_selection_precision")]
     return {"eval_run_id": run, "case_id": case, "shard_id": 0, "metrics": metrics, "input_tokens": 10, "output_tokens": 1, "error": error}
