@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runsieve.catalog import views as V
-from runsieve.catalog.registry import query
+from runsieve.catalog.registry import ORACLES, query
 from runsieve.catalog.sql import VIEWS, alnum, fixed, rnd, shared, strip, with_views, words
 from runsieve.functions.arrays import explode_once
 from runsieve.functions.text import alnum_tokens, shared_count, ws_tokens
 from runsieve.operators import retrieval, scoring, traces
+from runsieve.operators.inverted import build_index, indexed_top_k
 from runsieve.plans.evaluate import score_cases
 from runsieve.schemas import PASS_CUTOFF
+from runsieve.session import fresh_dir
 
 _NONE = "CAST([] AS VARCHAR[])"
 
@@ -287,6 +289,15 @@ def lexical_topk(spark, sf):
     return retrieval.lexical_top_k(queries, passages, k=4).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query("indexed_topk", ORACLES["lexical_topk"])
+def indexed_topk(spark, sf):
+    """The same passages as ``lexical_topk``, from a stored inverted index."""
+    queries = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    passages = V.texts(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"), "text")
+    index = build_index(passages, fresh_dir(spark, "passage-index"))
+    return indexed_top_k(index, queries, fresh_dir(spark, "top-k")).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 _RANKED = {
     "merged": f"""
         SELECT eval_run_id, case_id, query,

@@ -82,9 +82,9 @@ def _unjudged(name: str) -> Column:
 
 
 def _scorer_failure(field: str) -> Column:
-    """``error`` or ``traceback`` of the requested adapter where it failed on the first metric that it failed on."""
+    """``error`` or ``traceback`` of the first metric on which an adapter of the backend failed; ``all`` runs both."""
     failed = [
-        F.when((F.col("eval_backend") == b) & F.col(f"{b}_{m}.score").isNull(), F.struct(F.col(f"{b}_{m}.error").alias("error"), F.col(f"{b}_{m}.traceback").alias("traceback")))
+        F.when(F.col("eval_backend").isin(b, "all") & F.col(f"{b}_{m}.score").isNull(), F.struct(F.col(f"{b}_{m}.error").alias("error"), F.col(f"{b}_{m}.traceback").alias("traceback")))
         for m in JUDGED
         for b in ADAPTERS
     ]
@@ -105,7 +105,7 @@ def case_results(
     thresholds, judge_model_id and candidate_model_id. ``live`` are normalised agent replies,
     ``judge_replies`` and ``candidate_replies`` model replies as JSON bodies, ``adapter_rows`` scores of
     external scorers; all are keyed by (run, case) and may be redelivered or missing. A case that cannot be
-    resolved, whose requested adapter failed, or whose judge is needed and silent, is an error row without metrics.
+    resolved, on which an adapter of its backend failed, or whose judge is needed and silent, is an error row without metrics.
     ``latency_ms`` is that of the trace in use, also on error rows. ``metadata`` of an error row is a JSON object
     with the end of the scorer's traceback, or of the error text where no scorer ran.
 

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from runsieve.operators import retrieval, traces
+from runsieve.operators import inverted, retrieval, traces
 
 _CASE = (
     "eval_run_id string, case_id string, query string, expected_answer string, expected_contexts array<string>, expected_tools array<string>, "
@@ -71,6 +71,47 @@ def test_shared_corpus_matches_brute_force(spark, max_block_tokens, named):
     assert {(r["query_id"], r["passage_id"], r["rank"], round(r["score"], 12)) for r in got} == _brute(queries, passages, 4)
 
 
+@pytest.mark.parametrize("hot", [10, 100_000])
+@pytest.mark.parametrize("named", [False, True])
+def test_index_matches_brute_force(spark, tmp_path, hot, named):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+
+    def key(i):
+        return f"k{i:03d}" if named else i
+
+    passages = [(key(i), "the " + " ".join(rng.choices(words, k=rng.randint(0, 60)))) for i in range(150)]
+    passages += [(key(150 + i), "the w1 w2") for i in range(60)] + [(key(300), None), (key(301), ""), (key(302), "rare the")]
+    queries = [(key(i), "The " + " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(15)]
+    queries += [(key(90), "?!"), (key(91), None), (key(92), "rare"), (key(93), "unseen"), (key(94), "rare the w1")]
+    kind = "string" if named else "bigint"
+    q = spark.createDataFrame(queries, f"query_id {kind}, query string")
+    p = spark.createDataFrame(passages, f"passage_id {kind}, text string").repartition(3)
+    index = inverted.build_index(p, str(tmp_path / "index"), hot=hot)
+    assert (index.terms.agg(F.max("parts")).first()[0] > 1) == (hot == 10)
+    got = inverted.indexed_top_k(inverted.PassageIndex(spark, index.path), q, str(tmp_path / "work")).collect()
+    told = {(r["query_id"], r["passage_id"], r["rank"], round(r["score"], 12)) for r in got}
+    assert len(got) == len(told) and told == _brute([x for x in queries if x[1]], [x for x in passages if x[1]], 4)
+
+
+def test_open_requests_skip_bands_and_common_tokens(spark):
+    rows = [(1, "a", 8, 2, 1), (1, "b", 8, 50, 1), (1, "the", 8, 9000, 3), (1, "the", 40, 9000, 3), (2, "the", 8, 9000, 3)]
+    terms_of = spark.createDataFrame(rows, "query_id int, token string, band int, df long, parts int")
+    bands = spark.createDataFrame([(8, 4), (40, 1024)], "band int, least_n int")
+    limits = spark.createDataFrame([(1, 1.0)], "query_id int, limit double")
+    got = {(r["query_id"], r["token"], r["band"]) for r in inverted.open_requests(terms_of, bands, limits).collect()}
+    # Of three tokens two are needed, so one of the two rarest; 1,024 tokens would need 32 of one; query 2 has no limit.
+    assert got == {(1, "a", 8), (1, "b", 8), (2, "the", 8)}
+
+
+def test_index_of_nothing(spark, tmp_path):
+    empty = spark.createDataFrame([], "passage_id long, text string")
+    some = spark.createDataFrame([(1, "a b")], "passage_id long, text string")
+    ask = spark.createDataFrame([(1, "a")], "query_id long, query string")
+    assert inverted.indexed_top_k(inverted.build_index(empty, str(tmp_path / "a")), ask, str(tmp_path / "b")).count() == 0
+    assert inverted.indexed_top_k(inverted.build_index(some, str(tmp_path / "c")), ask.limit(0), str(tmp_path / "d")).count() == 0
+
+
 def test_fallback_answer(spark):
     rows = [
         {"recorded_trace": ("rec", [], []), "expected_answer": "exp"},
