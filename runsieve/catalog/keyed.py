@@ -9,6 +9,7 @@ from runsieve.catalog import views as V
 from runsieve.catalog.registry import ORACLES, query
 from runsieve.catalog.sql import with_views
 from runsieve.operators import aggregate as agg
+from runsieve.plans import attempts as at
 from runsieve.plans.incremental import deliver, partials_table, regate
 from runsieve.session import fresh_dir
 from runsieve.sources.keyed import KeyedTable
@@ -59,3 +60,37 @@ def incremental_reports(spark, sf):
         deliver(table, agg.long_facts(scores.filter(odd), flags.filter(odd), keep=("shard_id",)), "results", 1)
     table.compact()
     return A.report_columns(regate(table, A._event_runs(spark, sf)).withColumn("judge_model_id", F.lit("judge-a")))
+
+
+_AS_OF = "1995-06-17 00:30:00"
+
+
+@query(
+    "attempt_states",
+    f"""WITH told AS (
+          SELECT l_orderkey, l_shipdate::DATE AS d, l_returnflag AS flag, l_linenumber FROM lineitem
+          QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_suppkey ORDER BY l_shipdate::DATE DESC, l_returnflag = 'N' DESC, l_returnflag DESC) = 1),
+        counted AS (
+          SELECT l_orderkey, count(*) FILTER (flag <> 'N') AS failures, bool_or(flag = 'N') AS done,
+                 max(d) FILTER (flag <> 'N') AS last FROM told GROUP BY 1),
+        timed AS (SELECT *, CASE WHEN NOT done AND failures < 3 THEN last::TIMESTAMP + to_seconds(least(3600, 60 * 2 ** (failures - 1))::BIGINT) END AS due FROM counted)
+        SELECT l_orderkey::VARCHAR AS message_id, failures, coalesce(strftime(due, '%Y-%m-%d %H:%M:%S'), '') AS due_at,
+               CASE WHEN done THEN 'done' WHEN failures >= 3 THEN 'quarantined' WHEN due <= TIMESTAMP '{_AS_OF}' THEN 'due' ELSE 'waiting' END AS state
+        FROM timed""",
+)
+def attempt_states(spark, sf):
+    """Every line is an attempt on its order; two batches, the second one told twice, and a compaction between."""
+    ledger = at.attempt_ledger(spark, fresh_dir(spark, "attempts"), buckets=8)
+    failed = F.col("l_returnflag") != "N"
+    receipt = F.concat_ws("-", "l_linenumber", "l_suppkey")
+    code = F.when(failed, F.concat("l_returnflag", F.lit("Throttled")))
+    rows = V.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("message_id"), receipt.alias("receipt"), F.to_date("l_shipdate").cast("timestamp").alias("ended_at"),
+        (~failed).alias("ok"), code.alias("code"), code.alias("error"), (F.col("l_orderkey") % 2).alias("half"),
+    )
+    for half in (0, 1, 1):
+        at.record(ledger, rows.filter(F.col("half") == half).drop("half"), "queue", half)
+        if half == 0:
+            ledger.compact()
+    states = at.message_states(ledger.read(), F.lit(_AS_OF).cast("timestamp"))
+    return states.select("message_id", "failures", F.coalesce(F.date_format("due_at", "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("due_at"), "state")

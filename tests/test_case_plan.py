@@ -79,11 +79,11 @@ def test_candidate_reply_is_stripped_or_replaced(spark):
 
 
 def test_latency_traceback_and_failed_scorers(spark):
-    register_scorer("deepeval", lambda pdf: [1 / 0 if c == "b" else 0.9 for c in pdf["case_id"]])
-    requests = spark.createDataFrame([("r", c) for c in "abc"], "eval_run_id string, case_id string")
+    register_scorer("deepeval", lambda pdf: [1 / 0 if c in "bf" else 0.9 for c in pdf["case_id"]])
+    requests = spark.createDataFrame([("r", c) for c in "abcf"], "eval_run_id string, case_id string")
     scored = [apply_scorer(requests, "deepeval", n) for n in _NAMES]
     adapters = scored[0].unionByName(scored[1]).withColumn("passed", F.col("score") >= 0.85)
-    base = _cases(spark, a={"backend": "deepeval"}, b={"backend": "deepeval"}, c={"mode": "online"}, d={"trace": None}, e={"judged": False})
+    base = _cases(spark, a={"backend": "deepeval"}, b={"backend": "deepeval"}, c={"mode": "online"}, d={"trace": None}, e={"judged": False}, f={"backend": "all"})
     trace = F.when(F.col("recorded_trace").isNotNull(), F.col("recorded_trace").withField("latency_ms", F.lit(70)))
     cases = base.withColumn("recorded_trace", trace).withColumn("agent_endpoint", F.lit("https://a")).withColumn("judge_enabled", F.col("case_id") == "b")
     live = spark.createDataFrame([("r", "c", '{"answer": "x", "latency_ms": 31}')], "eval_run_id string, case_id string, body string")
@@ -94,6 +94,7 @@ def test_latency_traceback_and_failed_scorers(spark):
     assert got["b"]["error"] == "ZeroDivisionError: division by zero" and got["b"]["metrics"] == []
     assert "Traceback" in json.loads(got["b"]["metadata"])["traceback"]
     assert got["d"]["error"].startswith("AgentError") and json.loads(got["d"]["metadata"]) == {"traceback": got["d"]["error"]}
+    assert got["f"]["error"] == got["b"]["error"] and got["f"]["latency_ms"] == 70
     assert got["e"]["error"] is None and len(got["e"]["metrics"]) == 3
 
 
