@@ -79,7 +79,19 @@ def test_shard_layout_prunes_and_replaces(spark):
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^]]*(run_bucket[^]]*shard_block|shard_block[^]]*run_bucket)", plan) and "EqualTo(shard_id,2)" in plan
     jobs = spark.createDataFrame([("r0", 0), ("r0", 0), ("r1", 1)], "eval_run_id string, shard_id bigint")
-    assert shards.read_shards(spark, path, jobs).count() == 16
+    picked = shards.read_shards(spark, path, jobs)
+    assert picked.count() == 16
+    buckets = {r[0] for r in spark.createDataFrame([("r0",), ("r1",)], "r string").select(shards.run_bucket(F.col("r"))).collect()}
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    filters = re.findall(r"PartitionFilters: \[([^\]]*run_bucket[^\]]*)\]", plan)
+    assert len(filters) == 2 and all(str(b) in f for b in buckets for f in filters) and any("shard_block" in f for f in filters)
+    assert shards.read_shards(spark, path, jobs.limit(0)).count() == 0
+    # Cases of a dispatch that broke off before its pointer are not seen.
+    late = spark.read.parquet(path).filter("eval_run_id = 'r1'").withColumn("dispatch", F.lit(2**62)).limit(3)
+    late.write.mode("append").partitionBy("run_bucket", "shard_block").parquet(path)
+    assert shards.read_shards(spark, path).count() == 40 and shards.read_shard(spark, path, "r1", 2).count() == one.count()
 
 
 def test_shorter_dispatch_and_ids_that_look_like_numbers(spark):
