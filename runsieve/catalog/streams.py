@@ -68,21 +68,21 @@ def stream_run_progress(spark, sf):
 
 
 _YEAR = 365 * 86400
-#: Time of the sweep over the given tables.
-_SWEEP = "1998-06-01 00:00:00"
 
 
 @query(
     "stream_run_timeouts",
     f"""SELECT CAST(o_orderkey AS VARCHAR) AS eval_run_id, strftime(o_orderdate, '%Y-%m-%d') AS created_on FROM orders
-        WHERE o_orderdate + INTERVAL '{_YEAR} seconds' < TIMESTAMP '{_SWEEP}'
+        WHERE o_orderdate + INTERVAL '{_YEAR} seconds' < (SELECT greatest((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem)))
           AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL '{_YEAR} seconds')""",
 )
 def stream_run_timeouts(spark, sf):
     started = _stream(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias(RUN), F.col("o_orderdate").alias("created_at"))
     finished = _stream(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias(RUN), F.col("l_shipdate").alias("finished_at"))
     starts, ends = drain(started, "starts", S.started_runs), drain(finished, "ends", S.finished_runs)
-    late = S.run_timeouts(starts.drop("batch_id"), ends.drop("batch_id"), _YEAR, F.lit(_SWEEP).cast("timestamp"))
+    # The sweep comes when all has arrived: its time is the newest that either log knows.
+    sweep = F.greatest(starts.agg(F.max("created_at")).scalar(), ends.agg(F.max("finished_at")).scalar())
+    late = S.run_timeouts(starts.drop("batch_id"), ends.drop("batch_id"), _YEAR, sweep)
     return late.select(RUN, F.date_format("created_at", "yyyy-MM-dd").alias("created_on"))
 
 

@@ -144,6 +144,18 @@ def test_streams_do_not_depend_on_files_or_batches(spark, monkeypatch, name, max
     assert ok, text
 
 
+def test_sweep_sees_all_runs_of_the_tables(spark, tmp_path):
+    """Runs of every year are swept, and the clock goes on although completions stop early."""
+    starts = [(1, "1996-01-01"), (2, "1999-01-01"), (3, "2000-06-01"), (4, "2001-08-01"), (5, "2001-01-01"), (6, "2000-01-01")]
+    ends = [(1, "1996-02-01"), (3, "2000-07-01"), (6, "2001-06-01")]
+    orders = spark.createDataFrame(starts, "o_orderkey bigint, o_orderdate string")
+    orders.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = spark.createDataFrame(ends, "l_orderkey bigint, l_shipdate string")
+    lines.withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = all_queries()["stream_run_timeouts"](spark, str(tmp_path)).collect()
+    assert sorted((r["eval_run_id"], r["created_on"]) for r in got) == [("2", "1999-01-01"), ("6", "2000-01-01")]
+
+
 @pytest.fixture(scope="module")
 def shuffled_tables(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("shuffled"))
