@@ -9,15 +9,16 @@ from runsieve.functions.arrays import explode_once
 from runsieve.schemas import CASE_RESULT
 
 
-def read_result_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per ``.json`` file below ``path``: file_path, content.
+def read_result_documents(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """One row per document in the ``.json`` files below ``path``: file_path, content.
 
-    A result file holds one shard, so a whole file per row is bounded.
+    One document per file, or one per line: many small documents then share a file, so that opening files
+    does not take the time. A document holds one shard, so a whole one per row is bounded.
     """
     return (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
-        .text(path, wholetext=True)
+        .text(path, wholetext=whole_files)
         .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("content"))
     )
 

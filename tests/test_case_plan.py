@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from runsieve.catalog import results as catalog
 from runsieve.operators.runs import latest_status
 from runsieve.operators.scorers import apply_scorer, register_scorer
 from runsieve.operators.traces import normalise_responses
@@ -144,3 +145,17 @@ def test_stored_runs_to_outputs(spark, tmp_path):
     assert ("reports", "b") in audit and ("audit", "a:2") in audit and ("cases", "d:1") not in audit
     assert {r["status"] for r in latest_status(out["statuses"], ["updated_at"]).collect()} == {"pass", "fail", "timeout"}
     assert json.loads(out["reports"].filter("eval_run_id = 'a'").first()["report_json"])["overall_score"] == 0.8
+
+
+def test_result_documents_share_files(spark, tmp_path):
+    """Many small runs: documents are read line by line from as many files as tasks wrote, none lost or taken twice."""
+    turns = [(c, t, "assistant" if t % 2 else "user", f"turn {t}\r\n of   {c}") for c in range(200) for t in range(2)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    docs = [(c, f"text {c}\nof a document") for c in range(200)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(c, c % 2, 0) for c in range(0, 200, 2)]
+    spark.createDataFrame(labels, "doc_id bigint, quality bigint, toxic bigint").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = catalog._stored_rows(spark, str(tmp_path)).collect()
+    want = {f"{c}-0" for c in range(200) if not (c % 8 in (3, 4) and c % 3 == 0)}
+    assert len(rows) == len(want) and {r["case_id"] for r in rows} == want
+    assert len({r["file_path"] for r in rows}) <= 4
