@@ -50,7 +50,7 @@ def golden_documents(spark, sf):
 )
 def src_golden_cases(spark, sf):
     path = fresh_dir(spark, "golden")
-    golden_documents(spark, sf).write.json(path)
+    golden.write_golden(golden_documents(spark, sf), path)
     cases = golden.case_rows(golden.read_golden(spark, path, whole_files=False), F.col("name"))
     return cases.select(
         "dataset_id", "version", "pos", "case_id", "suite", "query", "expected_answer",

@@ -15,6 +15,7 @@ from runsieve.functions.numbers import round_exact
 from runsieve.operators.aggregate import latest_results
 from runsieve.schemas import GOLDEN
 from runsieve.session import fresh_dir
+from runsieve.sources.golden import write_golden
 from runsieve.sources.sinks import read_log
 from runsieve.streaming import lifecycle as S
 from runsieve.streaming import runs as R
@@ -37,8 +38,8 @@ def _stream(spark, sf, name):
 )
 def stream_dispatch(spark, sf):
     folder = fresh_dir(spark, "golden")
-    golden_documents(spark, sf).write.json(folder)
-    arrived = file_stream(spark, f"{folder}/*.json", GOLDEN, "json")
+    write_golden(golden_documents(spark, sf), folder)
+    arrived = file_stream(spark, f"{folder}/*.json.gz", GOLDEN, "json")
     cases = drain(S.dispatch_stream(arrived).select("dataset_id", "shard_id", "pos", "case_id"), "dispatch")
     return cases.groupBy("dataset_id", "shard_id").agg(F.count("*").alias("n_cases"), F.min("case_id").alias("first_case"))
 

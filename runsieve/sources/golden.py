@@ -11,11 +11,17 @@ from runsieve.schemas import GOLDEN
 
 
 def read_golden(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
-    """Datasets from JSON files: one document per file, or one per line."""
-    reader = spark.read.schema(GOLDEN).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+    """Datasets from JSON files, plain or packed by gzip: one document per file, or one per line."""
+    reader = spark.read.schema(GOLDEN).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{json,json.gz}")
     return reader.option("multiLine", whole_files).json(path).withColumn("source_path", F.col("_metadata.file_path"))
 
 
+def write_golden(datasets: DataFrame, path: str) -> None:
+    """Datasets as JSON files, one per line. A case repeats its texts as answer, context and trace, so the files
+    are packed."""
+    datasets.write.option("compression", "gzip").json(path)
+
+
 def parse_golden(df: DataFrame, text: str) -> DataFrame:
     """Datasets from a column of JSON text."""
     return df.withColumn("_g", F.from_json(text, GOLDEN)).select("*", "_g.*").drop("_g")

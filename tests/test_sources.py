@@ -43,6 +43,20 @@ def test_golden_file_to_report(spark, tmp_path):
     assert [m["score"] for m in bare["metrics"]] == [0.0, 0.0, 1.0] and bare["error"] is None and bare["answer"] == ""
 
 
+def test_written_golden_sets_are_packed(spark, tmp_path):
+    """The texts of a case are there several times, but not on disk; plain and packed sets are read together."""
+    lines = [f"line {i} of {' '.join(str(i * j % 997) for j in range(60))}" for i in range(400)]
+    case = [{"id": f"L{i}", "query": t, "expected_answer": t, "expected_contexts": [t], "recorded_trace": {"answer": t, "retrieved_contexts": [t]}} for i, t in enumerate(lines)]
+    sets = spark.createDataFrame([(json.dumps({"name": "big", "cases": case}),)], "body string")
+    golden.write_golden(golden.parse_golden(sets, "body").drop("body"), f"{tmp_path}/sets")
+    stored = sum(f.stat().st_size for f in (tmp_path / "sets").glob("part-*"))
+    assert 0 < stored < sum(map(len, lines))
+    (tmp_path / "sets" / "one.json").write_text(json.dumps({"name": "small", "cases": [{"id": "a", "query": "q"}]}))
+    rows = golden.case_rows(golden.read_golden(spark, str(tmp_path), whole_files=False), F.col("name")).collect()
+    assert sorted((r["pos"], r["query"]) for r in rows if r["dataset_id"] == "big") == list(enumerate(lines))
+    assert [r["case_id"] for r in rows if r["dataset_id"] == "small"] == ["a"]
+
+
 def test_result_documents(spark, tmp_path):
     def result(case, answer):
         return {"eval_run_id": "r", "case_id": case, "shard_id": 0, "suite": "rag", "query": "q", "answer": answer,
