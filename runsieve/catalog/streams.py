@@ -123,7 +123,8 @@ def stream_run_outcomes(spark, sf):
 
 
 def _track(spark, root):
-    events = file_stream(spark, f"{root}/events", T.StructType.fromDDL(R.EVENT), max_files=4)
+    # A batch visits every run that it has rows of, so small batches would visit each run many times.
+    events = file_stream(spark, f"{root}/events", T.StructType.fromDDL(R.EVENT))
     R.start_tracking(R.track_runs(events, 2 * _YEAR, by_event_time=True), root, availableNow=True).awaitTermination()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -16,6 +17,8 @@ from runsieve.sources.sinks import append_batch
 RUN = "eval_run_id"
 #: Seconds after the time limit for which a closed run is remembered.
 RETENTION_SECONDS = 7 * 86400
+#: Shards of a run that its own record holds.
+NEAR_SHARDS = 64
 EVENT = "kind string, eval_run_id string, created_at timestamp, total_shards bigint, shard_id string, n_cases bigint, finished_at timestamp, clock timestamp"
 OUTCOME = "eval_run_id string, outcome string, created_at timestamp, total_shards bigint, completed_shards bigint, completed_cases bigint, shard_id string"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -51,6 +54,9 @@ class RunTracker(StatefulProcessor):
     the timer fires first, with or without any shard. A shard that finished after the limit, or arrives when the
     outcome is told, goes out as ``late``; a repeat of a counted shard does not. A closed run is forgotten by its
     second timer.
+
+    Each call of the state store takes far longer than the work on a row. So a run's first ``NEAR_SHARDS`` shards
+    are kept in its own record, read and written once a batch; only further ones are entries of the map.
     """
 
     def __init__(self, timeout_seconds: int, retention_seconds: int) -> None:
@@ -58,65 +64,86 @@ class RunTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", "created bigint, total bigint, told string, cases bigint, shards bigint")
+        self.run = handle.getValueState("run", "created bigint, total bigint, told string, cases bigint, shards bigint, near string")
         self.shards = handle.getMapState("shards", "shard_id string", "n_cases bigint, finished bigint")
 
+    def _load(self) -> tuple[tuple, dict[str, tuple]]:
+        """The run's record, and its near shards as ``id: (n_cases, finished)``; empty for a run not seen."""
+        *state, near = self.run.get() or (None, None, None, 0, 0, "{}")
+        return tuple(state), json.loads(near)
+
+    def _save(self, state: tuple, near: dict[str, tuple]) -> None:
+        self.run.update((*state, json.dumps(near)))
+
+    def _all_shards(self, near: dict[str, tuple]) -> Iterator[tuple[str, tuple]]:
+        yield from near.items()
+        if len(near) >= NEAR_SHARDS:
+            yield from [(shard[0], value) for shard, value in self.shards.iterator()]
+
     def _row(self, key: str, outcome: str, state: tuple, shard_id: str | None = None) -> Row:
         created, total, _, cases, shards = state
         values = {"total_shards": total, "completed_shards": shards, "completed_cases": cases, "shard_id": shard_id}
         return Row(eval_run_id=key, outcome=outcome, created_ms=created, **values)
 
-    def _count(self, created: int) -> tuple[int, int]:
-        """Shards that came before their run's start, judged by its limit now."""
-        cases = n = 0
-        for _, (n_cases, finished) in list(self.shards.iterator()):
-            if finished <= created + self.limit:
-                cases, n = cases + (n_cases or 0), n + 1
-        return cases, n
-
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         if key[0] is None:
             return
-        created, total, told, cases, shards = self.run.get() if self.run.exists() else (None, None, None, 0, 0)
-        new = created is None
+        before, near = self._load()
+        created, total, told, cases, shards = before
+        n_near, seen = len(near), set(near)
         for row in sorted(rows, key=lambda r: r.kind != "start"):
-            if row.kind == "start" and created is None and row.created_ms is not None:
-                created, total = row.created_ms, row.total_shards
-                early = [s[0] for s, v in self.shards.iterator() if v[1] > created + self.limit]
-                cases, shards = self._count(created)
+            if row.kind == "start" and created is None and row.at_ms is not None:
+                created, total = row.at_ms, row.size
+                # Shards that came before their run's start are judged by its limit now.
+                early = []
+                for shard, (n_cases, finished) in self._all_shards(near):
+                    if finished <= created + self.limit:
+                        cases, shards = cases + (n_cases or 0), shards + 1
+                    else:
+                        early.append(shard)
                 for shard in early:
                     yield self._row(key[0], "late", (created, total, told, cases, shards), shard)
-            elif row.kind == "shard" and row.shard_id is not None and row.finished_ms is not None:
-                known, finished = self.shards.containsKey((row.shard_id,)), row.finished_ms
-                if known:
+            elif row.kind == "shard" and row.shard_id is not None and row.at_ms is not None:
+                if row.shard_id in seen:
+                    continue
+                seen.add(row.shard_id)
+                finished = row.at_ms
+                if len(near) < NEAR_SHARDS:
+                    near[row.shard_id] = (row.size, finished)
+                elif self.shards.containsKey((row.shard_id,)):
                     continue
-                self.shards.updateValue((row.shard_id,), (row.n_cases, finished))
+                else:
+                    self.shards.updateValue((row.shard_id,), (row.size, finished))
                 if created is None:
                     continue
                 if told or finished > created + self.limit:
                     yield self._row(key[0], "late", (created, total, told, cases, shards), row.shard_id)
                 else:
-                    cases, shards = cases + (row.n_cases or 0), shards + 1
+                    cases, shards = cases + (row.size or 0), shards + 1
             if created is not None and not told and total is not None and shards >= total:
                 told = "complete"
                 yield self._row(key[0], told, (created, total, told, cases, shards))
-        if new and created is not None:
+        if before[0] is None and created is not None:
             self.handle.registerTimer(created + self.limit + 1)
-        self.run.update((created, total, told, cases, shards))
+        after = (created, total, told, cases, shards)
+        if after != before or len(near) != n_near:
+            self._save(after, near)
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        if not self.run.exists():
+        (created, total, told, cases, shards), near = self._load()
+        if created is None:
             return
-        created, total, told, cases, shards = self.run.get()
         at = expiredTimerInfo.getExpiryTimeInMs()
         if at >= created + self.limit + 1 + self.retention:
             self.run.clear()
-            self.shards.clear()
+            if len(near) >= NEAR_SHARDS:
+                self.shards.clear()
             return
         self.handle.registerTimer(created + self.limit + 1 + self.retention)
         if told is None:
-            self.run.update((created, total, "timeout", cases, shards))
-            yield self._row(key[0], "timeout", (created, total, "timeout", cases, shards))
+            state = (created, total, "timeout", cases, shards)
+            self._save(state, near)
+            yield self._row(key[0], "timeout", state)
 
 
 def track_runs(
@@ -129,7 +156,10 @@ def track_runs(
     row is ever too old to be taken.
     """
     # Instants pass Python as milliseconds, which no zone can change.
-    rows = events.withColumns({"created_ms": F.unix_millis("created_at"), "finished_ms": F.unix_millis("finished_at")}).drop("created_at", "finished_at")
+    # Each cell of a row is a Python object, so a start and a shard share their columns.
+    start = F.col("kind") == "start"
+    size, at = F.when(start, F.col("total_shards")).otherwise(F.col("n_cases")), F.when(start, F.col("created_at")).otherwise(F.col("finished_at"))
+    rows = events.select("kind", RUN, "shard_id", size.alias("size"), F.unix_millis(at).alias("at_ms"), "clock")
     keyed = rows.withWatermark("clock", "0 seconds") if by_event_time else rows.drop("clock")
     told = keyed.groupBy(RUN).transformWithState(
         statefulProcessor=RunTracker(timeout_seconds, retention_seconds),

@@ -5,6 +5,7 @@ from datetime import datetime
 
 import pytest
 from oracle import compare, duck
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -99,6 +100,72 @@ def test_runs_complete_once_or_time_out(spark):
     assert _outcomes(spark, [rows[5:], rows[:5], rows[3:], [clock], after, after], fresh_dir(spark, "many")) == want
 
 
+class _Store:
+    """A state variable and a handle in one, which counts its calls."""
+
+    def __init__(self):
+        self.value, self.entries, self.timers, self.calls = None, {}, [], 0
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def exists(self):
+        return self.get() is not None
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.entries
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.entries[key] = value
+
+    def iterator(self):
+        self.calls += 1
+        return iter(list(self.entries.items()))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+
+def _tracked(batches):
+    """Outcomes and state calls of one run over batches of ``(kind, shard, size, at)``."""
+    store, tracker = _Store(), R.RunTracker(10, 100)
+    tracker.init(store)
+    told = []
+    for batch in batches:
+        rows = [Row(kind=k, shard_id=s, size=n, at_ms=t, total_shards=n, n_cases=n, created_ms=t, finished_ms=t) for k, s, n, t in batch]
+        told += [(r["outcome"], r["shard_id"], r["completed_shards"], r["completed_cases"]) for r in tracker.handleInputRows(("r",), iter(rows), None)]
+    return told, store
+
+
+def test_runs_take_few_state_calls():
+    shards = [("shard", str(i), 2, 5000) for i in range(10)]
+    told, store = _tracked([[*shards, ("start", None, 10, 0), *shards], shards, shards])
+    assert told == [("complete", None, 10, 20)] and store.timers == [10001]
+    assert store.calls <= 6
+
+
+def test_large_runs_keep_every_shard():
+    """More shards than the run's record holds, some late, before and after the start, all delivered again."""
+    shards = [("shard", str(i), 2, 20000 if i % 10 == 0 else 5000) for i in range(300)]
+    late = sorted(("late", str(i)) for i in range(0, 300, 10))
+    for batches in ([[*shards, ("start", None, 270, 0), *shards], shards], [shards[:150], shards[:150], [*shards[100:], ("start", None, 270, 0)], shards]):
+        told, store = _tracked(batches)
+        assert [t for t in told if t[0] == "complete"] == [("complete", None, 270, 540)]
+        assert sorted(t[:2] for t in told if t[0] == "late") == late and len(store.entries) == 300 - R.NEAR_SHARDS
+
+
 def test_runs_time_out_by_the_clock_of_the_cluster(spark):
     """Nothing arrives after the starts; only the clock goes on."""
     root, rows = fresh_dir(spark, "wall"), [("start", run, datetime(year, 1, 1), 1, None, None, None, None) for run, year in (("dead", 2024), ("young", 2099))]
