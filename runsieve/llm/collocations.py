@@ -26,12 +26,15 @@ TABLE_BITS = 27
 _CHUNK_BITS = 16
 #: Text bytes of one language that a task counts together.
 BLOCK_BYTES = 8 << 20
+#: Rows of counted windows that a task holds to merge those of its blocks.
+MERGE_ROWS = 1 << 19
 #: Salt buckets of a language's ranking.
 RANK_BUCKETS = 64
 
 _ENDS, _BLANKS = byte_class(".,;:!?\n\x0b\x0c\r"), byte_class(" \t")
 _BREAKS = _ENDS | _BLANKS
 _WORDS = [f"w{i + 1}" for i in range(MAX_WORDS)]
+_WINDOW = pa.schema([("lang", pa.string()), *[(w, pa.string()) for w in _WORDS], ("n", pa.int64())])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
@@ -167,44 +170,63 @@ def _joined(index: np.ndarray, follows: np.ndarray, mixed: np.ndarray, table: np
     return joined
 
 
-def _windows(short, longer):
+def _block_windows(lang: str, block: bytes, table: np.ndarray, long_table: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The longest window at every word of a block, counted: the word and those that follow in its piece,
     padded with null from the word on that makes a run too rare for any candidate."""
-    schema = pa.schema([("lang", pa.string()), *[(w, pa.string()) for w in _WORDS], ("n", pa.int64())])
+    index, follows, words = _tokens(block)
+    if not len(index):
+        return
+    mixed = _word_cells(lang, words)
+    joined = _joined(index, follows, mixed, table)
+    text = words.cast(pa.large_string()).cast(pa.string())
+    at = np.flatnonzero(_marked(table, _cell(mixed))[index])
+    # Distinct windows of one length as numbers; the next length extends them, so equal windows meet exactly.
+    level, number, run_of = [np.arange(len(words))], index[at].astype(np.int64), mixed[index[at]]
+    rows: list[tuple[list[np.ndarray], np.ndarray]] = [([], np.array([len(index) - len(at)]))]
+    for size in range(1, MAX_WORDS + 1):
+        more = joined[at + size - 1] if size < MAX_WORDS else np.zeros(len(at), bool)
+        run_of = _extend(run_of[more], mixed[index[at[more] + size]]) if size < MAX_WORDS else run_of
+        if 2 <= size < MAX_WORDS:
+            frequent = _marked(long_table, _cell(run_of))
+            more[more], run_of = frequent, run_of[frequent]
+        ends_here = np.bincount(number[~more], minlength=len(level[0]))
+        kept = np.flatnonzero(ends_here)
+        rows.append(([w[kept] for w in level], ends_here[kept]))
+        at, number = at[more], number[more]
+        if not len(at):
+            break
+        key, number = np.unique((number << 32) | index[at + size], return_inverse=True)
+        level = [w[key >> 32] for w in level] + [key & 0xFFFFFFFF]
+    for columns, n in rows:
+        if not n.any():
+            continue
+        taken = [text.take(pa.array(c)) for c in columns] + [pa.nulls(len(n), pa.string())] * (MAX_WORDS - len(columns))
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *taken, pa.array(n, pa.int64())], schema=_WINDOW)
+
+
+def _merged(held: list[pa.RecordBatch]) -> pa.Table:
+    """Equal windows as one row with the sum of their counts."""
+    sums = pa.Table.from_batches(held).group_by(_WINDOW.names[:-1], use_threads=False).aggregate([("n", "sum")])
+    return sums.select([*_WINDOW.names[:-1], "n_sum"]).rename_columns(_WINDOW.names)
+
+
+def _windows(short, longer):
+    """The counted windows of a task's blocks. Blocks share most windows, so a task merges up to ``MERGE_ROWS``
+    rows; what then still fills half of that goes out, and the task begins anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, long_table = np.frombuffer(short.value, np.uint8), np.frombuffer(longer.value, np.uint8)
+        held: list[pa.RecordBatch] = []
         for lang, block in _blocks(batches):
-            index, follows, words = _tokens(block)
-            if not len(index):
-                continue
-            mixed = _word_cells(lang, words)
-            joined = _joined(index, follows, mixed, table)
-            text = words.cast(pa.large_string()).cast(pa.string())
-            at = np.flatnonzero(_marked(table, _cell(mixed))[index])
-            # Distinct windows of one length as numbers; the next length extends them, so equal windows meet exactly.
-            level, number, run_of = [np.arange(len(words))], index[at].astype(np.int64), mixed[index[at]]
-            rows: list[tuple[list[np.ndarray], np.ndarray]] = [([], np.array([len(index) - len(at)]))]
-            for size in range(1, MAX_WORDS + 1):
-                more = joined[at + size - 1] if size < MAX_WORDS else np.zeros(len(at), bool)
-                run_of = _extend(run_of[more], mixed[index[at[more] + size]]) if size < MAX_WORDS else run_of
-                if 2 <= size < MAX_WORDS:
-                    frequent = _marked(long_table, _cell(run_of))
-                    more[more], run_of = frequent, run_of[frequent]
-                ends_here = np.bincount(number[~more], minlength=len(level[0]))
-                kept = np.flatnonzero(ends_here)
-                rows.append(([w[kept] for w in level], ends_here[kept]))
-                at, number = at[more], number[more]
-                if not len(at):
-                    break
-                key, number = np.unique((number << 32) | index[at + size], return_inverse=True)
-                level = [w[key >> 32] for w in level] + [key & 0xFFFFFFFF]
-            for columns, n in rows:
-                if not n.any():
-                    continue
-                taken = [text.take(pa.array(c)) for c in columns] + [pa.nulls(len(n), pa.string())] * (MAX_WORDS - len(columns))
-                arrays = [pa.array([lang] * len(n), pa.string()), *taken, pa.array(n, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            held.extend(_block_windows(lang, block, table, long_table))
+            if sum(b.num_rows for b in held) >= MERGE_ROWS:
+                merged = _merged(held)
+                held = merged.to_batches()
+                if merged.num_rows >= MERGE_ROWS // 2:
+                    yield from merged.to_batches(max_chunksize=1 << 16)
+                    held = []
+        if held:
+            yield from _merged(held).to_batches(max_chunksize=1 << 16)
 
     return run
 

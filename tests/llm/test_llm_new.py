@@ -7,7 +7,9 @@ import itertools
 import random
 import struct
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +112,23 @@ def _brute_collocations(rows, least, top, percent=100):
     return {k: v for k, v in out.items() if v}
 
 
+@pytest.mark.parametrize("held", [4, 1 << 19])
+def test_blocks_of_a_task_share_their_windows(monkeypatch, held):
+    """A task's blocks give each window once, unless it holds too many; the counts stay."""
+    monkeypatch.setattr(collocations, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(collocations, "MERGE_ROWS", held)
+    every = SimpleNamespace(value=b"\xff" * (1 << (collocations.TABLE_BITS - 3)))
+    texts = pa.RecordBatch.from_arrays([pa.array(["en", "de"] * 50), pa.array(["a b c d e f. g \u00e4"] * 100)], names=["lang", "text"])
+    rows = [tuple(r.values()) for b in collocations._windows(every, every)(iter([texts])) for r in b.to_pylist()]
+    sums = Counter()
+    for *window, n in rows:
+        sums[tuple(window)] += n
+    words = "a b c d e f".split()
+    want = [words[i : i + 5] for i in range(6)] + [["g", "\u00e4"], ["\u00e4"]]
+    assert sums == {(lang, *w, *[None] * (5 - len(w))): 50 for lang in ("en", "de") for w in want}
+    assert held < 100 or len(rows) == len(sums)
+
+
 @pytest.mark.parametrize("block", [8 << 20, 300])
 def test_collocations_are_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(collocations, "BLOCK_BYTES", block)
