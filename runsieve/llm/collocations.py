@@ -26,8 +26,8 @@ TABLE_BITS = 27
 _CHUNK_BITS = 16
 #: Text bytes of one language that a task counts together.
 BLOCK_BYTES = 8 << 20
-#: Rows of counted windows that a task holds to merge those of its blocks.
-MERGE_ROWS = 1 << 19
+#: Rows of counted windows that a task holds to merge those of its blocks (some 160 MB).
+MERGE_ROWS = 1 << 21
 #: Salt buckets of a language's ranking.
 RANK_BUCKETS = 64
 
@@ -237,12 +237,17 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
 
     Only longest windows are counted. ROLLUP over their lead columns adds up ever shorter prefixes, and a
     prefix of k columns without padding is a phrase of k words, so no shorter window is ever made.
+
+    Nearly every task meets nearly every frequent window, and both tasks and frequent windows grow with the
+    input. So windows are counted in one task a core, whatever the number of splits: a larger input
+    makes longer tasks, and the rows they give grow with the windows alone.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     short = _frequent_cells(texts, _count_short(min_count), min_count)
     longer = _frequent_cells(texts, _count_longer(short), min_count)
     kinds = ", ".join(["lang string", *[f"{w} string" for w in _WORDS], "n bigint"])
-    windows = texts.mapInArrow(_windows(short, longer), kinds).groupBy("lang", *_WORDS).agg(F.sum("n").alias("n"))
+    few = texts.coalesce(texts.sparkSession.sparkContext.defaultParallelism)
+    windows = few.mapInArrow(_windows(short, longer), kinds).groupBy("lang", *_WORDS).agg(F.sum("n").alias("n"))
     windows = stored(windows, "windows")
     rolled = windows.rollup("lang", *_WORDS).agg(F.sum("n").alias("f"), F.grouping_id().alias("gid"))
     # The columns that a prefix of k words leaves out are the last ones: gid = 2**(MAX_WORDS - k) - 1.

@@ -129,6 +129,30 @@ def test_blocks_of_a_task_share_their_windows(monkeypatch, held):
     assert held < 100 or len(rows) == len(sums)
 
 
+def test_window_rows_do_not_grow_with_splits(spark, monkeypatch):
+    """Equal texts in more splits than cores: each core gives each window once, and every text is counted."""
+    made, windows = spark.sparkContext.accumulator(0), collocations._windows
+
+    def counted(*tables):
+        run = windows(*tables)
+
+        def more(batches):
+            for batch in run(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return more
+
+    monkeypatch.setattr(collocations, "_windows", counted)
+    cores = spark.sparkContext.defaultParallelism
+    frame = spark.range(20 * cores, numPartitions=5 * cores).select(F.lit("en").alias("lang"), F.lit("a b c d e f. g h").alias("text"))
+    got = {(r["size"], r.phrase): r.f for r in collocations.phrase_counts(frame, 6).collect()}
+    words = "a b c d e f".split()
+    want = [" ".join(words[i : i + k]) for k in range(1, 6) for i in range(7 - k)] + ["g", "h", "g h"]
+    assert got == {(0, ""): 160 * cores, **{(len(p.split()), p): 20 * cores for p in want}}
+    assert 0 < made.value <= 8 * cores
+
+
 @pytest.mark.parametrize("block", [8 << 20, 300])
 def test_collocations_are_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(collocations, "BLOCK_BYTES", block)
