@@ -26,8 +26,8 @@ TABLE_BITS = 27
 _CHUNK_BITS = 16
 #: Text bytes of one language that a task counts together.
 BLOCK_BYTES = 8 << 20
-#: Rows of counted windows that a task holds to merge those of its blocks (some 160 MB).
-MERGE_ROWS = 1 << 21
+#: Rows of counted windows that a task holds at most to merge those of its blocks (some 200 MB).
+MERGE_ROWS = 1 << 22
 #: Salt buckets of a language's ranking.
 RANK_BUCKETS = 64
 
@@ -211,20 +211,22 @@ def _merged(held: list[pa.RecordBatch]) -> pa.Table:
 
 
 def _windows(short, longer):
-    """The counted windows of a task's blocks. Blocks share most windows, so a task merges up to ``MERGE_ROWS``
-    rows; what then still fills half of that goes out, and the task begins anew."""
+    """The counted windows of a task's blocks. Blocks share most windows, so a task merges what it holds whenever
+    that has doubled; what then still fills three quarters of ``MERGE_ROWS`` goes out, and the task begins anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, long_table = np.frombuffer(short.value, np.uint8), np.frombuffer(longer.value, np.uint8)
         held: list[pa.RecordBatch] = []
+        due = MERGE_ROWS // 8
         for lang, block in _blocks(batches):
             held.extend(_block_windows(lang, block, table, long_table))
-            if sum(b.num_rows for b in held) >= MERGE_ROWS:
+            if sum(b.num_rows for b in held) >= due:
                 merged = _merged(held)
                 held = merged.to_batches()
-                if merged.num_rows >= MERGE_ROWS // 2:
+                if merged.num_rows >= MERGE_ROWS * 3 // 4:
                     yield from merged.to_batches(max_chunksize=1 << 16)
                     held = []
+                due = min(max(2 * sum(b.num_rows for b in held), MERGE_ROWS // 8), MERGE_ROWS)
         if held:
             yield from _merged(held).to_batches(max_chunksize=1 << 16)
 
